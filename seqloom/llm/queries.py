@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, repetition, tokens, urls, warc
+from . import chat, classifier, decontam, mixing, pitman_yor, repetition, tokens, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("allow", "net", "/de/"), urls.Rule("block", "example.net", "/de/8"), urls.Rule("block", "org", "/es/")]
@@ -76,11 +76,24 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.where("leaked").drop("leaked")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = classifier.train_quality(docs, table(spark, sf_dir, "labels"))
     return classifier.score_quality(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_url_filters, op5_warc, op6_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_url_filters, op4_decontamination, op5_warc, op6_quality_rules, op8_mixing, op9_lm_scoring, op10_quality_classifier)}
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op5_warc": OP5_SQL}
