@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontam, mixing, pitman_yor, repetition, tokens, urls, warc
+from . import chat, classifier, decontam, jaccard, mixing, pitman_yor, repetition, tokens, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [urls.Rule("block", "com", "/en/"), urls.Rule("allow", "example.com", "/en/7"), urls.Rule("allow", "net", "/de/"), urls.Rule("block", "example.net", "/de/8"), urls.Rule("block", "org", "/es/")]
@@ -81,6 +81,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.where("leaked").drop("leaked")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -95,5 +99,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_quality(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_url_filters, op4_decontamination, op5_warc, op6_quality_rules, op8_mixing, op9_lm_scoring, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_url_filters, op4_decontamination, op5_warc, op6_quality_rules, op7_jaccard_join, op8_mixing, op9_lm_scoring, op10_quality_classifier)}
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op5_warc": OP5_SQL}

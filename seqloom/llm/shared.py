@@ -43,3 +43,11 @@ def tree_sum(df: DataFrame, dtype, depth: int = 3) -> np.ndarray | None:
     if parts.isEmpty():
         return None
     return parts.treeReduce(lambda a, b: a + b, depth)
+
+
+def tree_or(df: DataFrame, depth: int = 3) -> np.ndarray | None:
+    """Bytewise OR of the equal-sized binaries in ``df``'s only column, as ``tree_sum``."""
+    parts = df.rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.uint8))
+    if parts.isEmpty():
+        return None
+    return parts.treeReduce(np.bitwise_or, depth)
