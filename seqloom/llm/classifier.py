@@ -11,77 +11,80 @@ from pyspark.sql import functions as F
 from .shared import tree_sum
 from .textkit import crc_rows, slices, words
 
-UNITS = 1 << 13  # buckets for whole words, and as many for word endings
+UNITS = 1 << 12  # buckets for whole words, and as many for word endings
 DIM = 64
 WINDOW = 2
 FEATURES = 2 * DIM + 3
 
 
-def index_vectors(seed: int = 1, nonzero: int = 8) -> np.ndarray:
-    """Sparse ternary index vectors of all units."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((2 * UNITS, DIM), np.float32)
-    at = rng.random((2 * UNITS, DIM)).argsort(1)[:, :nonzero]
-    np.put_along_axis(out, at, np.where(np.arange(nonzero) % 2, 1, -1).astype(np.float32)[None], 1)
+def index_vectors(seed: int, nonzero: int = 8) -> np.ndarray:
+    """Sparse ternary index vectors of all units of a kind."""
+    out = np.zeros((UNITS, DIM), np.int8)
+    at = np.random.default_rng(seed).random((UNITS, DIM)).argsort(1)[:, :nonzero]
+    np.put_along_axis(out, at, np.where(np.arange(nonzero) % 2, 1, -1).astype(np.int8)[None], 1)
     return out
 
 
-def units(w) -> tuple[np.ndarray, np.ndarray]:
-    """(word unit, ending unit) of every word: its hash, and its last three bytes' hash with letter case kept."""
+def word_units(w) -> np.ndarray:
+    return (w.hash >> np.uint64(52)).astype(np.uint16)
+
+
+def ending_units(w) -> np.ndarray:
+    """Hash of a word's last three bytes, letter case kept."""
     pad = np.concatenate([np.zeros(3, np.uint8), w.data]).astype(np.uint32)
-    end = np.zeros(w.ends.size, np.uint32)
-    size = w.ends - w.starts
+    end, size = np.zeros(w.ends.size, np.uint32), w.ends - w.starts
     for i in range(3):
         end = end * np.uint32(257) + np.where(size > i, pad[w.ends + 2 - i], 0)
-    end = (end * np.uint32(2654435761)) >> np.uint32(19)
-    return (w.hash >> np.uint64(51)).astype(np.int64), end.astype(np.int64) + UNITS
+    return ((end * np.uint32(2654435761)) >> np.uint32(20)).astype(np.uint16)
 
 
-def _context_sums(w, index: np.ndarray, table: np.ndarray) -> None:
-    """Add to each unit's row the index vectors of the words up to WINDOW away in the same text."""
-    if not w.starts.size:
+def _add_contexts(w, index: np.ndarray, table: np.ndarray) -> None:
+    """Add to each word unit's row the index vectors of the words up to WINDOW away in the same text."""
+    n = w.starts.size
+    if not n:
         return
-    a, b = units(w)
-    own = index[a] + index[b]
-    doc, n = w.doc, a.size
+    unit, doc = word_units(w), w.doc
+    own = index[unit]
     near = np.zeros_like(own)
     for k in range(1, min(WINDOW, n - 1) + 1):
-        same = (doc[k:] == doc[:-k])[:, None]
-        near[k:] += own[:-k] * same
-        near[:-k] += own[k:] * same
-    for u in (a, b):
-        order = np.argsort(u, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(u[order]) > 0]))
-        table[u[order[cut]]] += np.add.reduceat(near[order], cut, axis=0)
+        other = doc[k:] != doc[:-k]
+        for to, part in ((near[k:], own[:-k].copy()), (near[:-k], own[k:].copy())):
+            part[other] = 0
+            to += part
+    order = np.argsort(unit, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(unit[order].astype(np.int32)) > 0]))
+    table[unit[order[cut]]] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int32)
 
 
 def context_vectors(df: DataFrame, text_col: str) -> np.ndarray:
-    """Context vectors learnt from all texts of ``df``: one fixed-size table (4 MB) a task, summed in a tree."""
+    """Context vectors learnt from all texts of ``df``: one fixed-size table (1 MB) a task, summed in a tree."""
     def run(batches):
-        index, table = index_vectors(), np.zeros((2 * UNITS, DIM), np.float32)
+        index, table = index_vectors(1), np.zeros((UNITS, DIM), np.int64)
         for b in slices(batches, "t"):
-            _context_sums(words(b.column("t")), index, table)
-        yield pa.RecordBatch.from_arrays([pa.array([np.rint(table).astype(np.int32).tobytes()], pa.binary())], names=["v"])
+            _add_contexts(words(b.column("t")), index, table)
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["v"])
 
-    total = tree_sum(df.select(df[text_col].cast("string").alias("t")).mapInArrow(run, "v binary"), np.int32)
-    table = np.zeros((2 * UNITS, DIM), np.float32) if total is None else total.reshape(2 * UNITS, DIM).astype(np.float32)
+    total = tree_sum(df.select(df[text_col].cast("string").alias("t")).mapInArrow(run, "v binary"), np.int64, UNITS * DIM)
+    table = total.reshape(UNITS, DIM).astype(np.float32)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(col, vectors: np.ndarray) -> np.ndarray:
-    """A text's features: mean word vector, mean ending vector, share of words that repeat the one before, log word count, and a flag for no words."""
+def pooled(col, vectors: np.ndarray, block: int = 256) -> np.ndarray:
+    """A text's features (``vectors``: context vectors of word units, then index vectors of ending units): mean context vector of its words, mean index vector of their endings, share of words that
+    repeat the one before, log word count, and a flag for no words."""
     w = words(col)
-    n = w.off.size - 1
+    n, doc, size = w.counts.size, w.doc, np.maximum(w.counts, 1)
     out = np.zeros((n, FEATURES), np.float32)
-    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1]))
-    out[:, -3] = np.bincount(w.doc[again], minlength=n) / np.maximum(w.counts, 1)
+    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1]))
+    out[:, -3] = np.bincount(doc[again], minlength=n) / size
     out[:, -2] = np.log1p(w.counts)
     out[:, -1] = w.counts == 0
-    has = np.flatnonzero(w.counts)
-    if has.size:
-        cut, size = w.first[:-1][has], w.counts[has][:, None]
-        for j, u in enumerate(units(w)):
-            out[has, j * DIM : (j + 1) * DIM] = np.add.reduceat(vectors[u], cut, axis=0) / size
+    for j, (unit, table) in enumerate(((word_units(w), vectors[:UNITS]), (ending_units(w), vectors[UNITS:]))):
+        for a in range(0, n, block):
+            e = min(a + block, n)
+            own = slice(w.first[a], w.first[e])
+            count = np.bincount((doc[own] - a) * UNITS + unit[own], minlength=(e - a) * UNITS).reshape(e - a, UNITS)
+            out[a:e, j * DIM : (j + 1) * DIM] = count.astype(np.float32) @ table / size[a:e, None]
     return out
 
 
@@ -144,12 +147,12 @@ def train_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     learnt from). Null labels and ids are passed over; of several labels of an id the smallest counts; with no or
     one label class the score is the prior. The sample of ids and features is what the driver gets.
     """
-    vectors = context_vectors(df, text_col)
+    vectors = np.vstack([context_vectors(df, text_col), index_vectors(2)])
     own = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
     if fold:
         own = own.where(F.crc32(F.col("i").cast("string")) % fold != held_out)
     sample = own.orderBy(F.xxhash64("i"), "i").limit(max_train)
-    shared = df.sparkSession.sparkContext.broadcast(vectors)  # 4 MB, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(vectors)  # 2 MB, whatever the input
     rows = df.select(df[id_col].alias("j"), df[text_col].cast("string").alias("t")).join(F.broadcast(sample), F.col("i") == F.col("j"))
 
     def run(batches):

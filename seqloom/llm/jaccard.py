@@ -118,8 +118,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
             bits[_bits_of(b.column(0).to_numpy(), size)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["v"])
 
-    got = tree_or(ids.coalesce(16).mapInArrow(run, "v binary"))
-    return np.unpackbits(got if got is not None else np.zeros(size // 8, np.uint8)).astype(bool)
+    return np.unpackbits(tree_or(ids.coalesce(16).mapInArrow(run, "v binary"), size // 8)).astype(bool)
 
 
 def _whole_sets(df: DataFrame, ids: DataFrame, j: Join) -> DataFrame:

@@ -26,28 +26,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tree_sum(df: DataFrame, dtype, depth: int = 3) -> np.ndarray | None:
-    """Element-wise sum of the equal-sized arrays in ``df``'s only (binary) column, added up on the executors.
+def _tree(df: DataFrame, dtype, size: int, add, depth: int) -> np.ndarray:
+    parts = df.rdd.map(lambda r: np.frombuffer(bytes(r[0]), dtype))
+    return parts.treeAggregate(np.zeros(size, dtype), add, add, depth)
 
-    The driver gets one array; None for no rows.
+
+def tree_sum(df: DataFrame, dtype, size: int, depth: int = 3) -> np.ndarray:
+    """Element-wise sum of the arrays of ``size`` in ``df``'s only (binary) column, added up on the executors.
+
+    The driver gets one array; zeros for no rows.
     """
-    def arrays(rows):
-        total = None
-        for r in rows:
-            a = np.frombuffer(bytes(r[0]), dtype)
-            total = a.copy() if total is None else total + a
-        if total is not None:
-            yield total
-
-    parts = df.rdd.mapPartitions(arrays)
-    if parts.isEmpty():
-        return None
-    return parts.treeReduce(lambda a, b: a + b, depth)
-
-
-def tree_or(df: DataFrame, depth: int = 3) -> np.ndarray | None:
-    """Bytewise OR of the equal-sized binaries in ``df``'s only column, as ``tree_sum``."""
-    parts = df.rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.uint8))
-    if parts.isEmpty():
-        return None
-    return parts.treeReduce(np.bitwise_or, depth)
+    return _tree(df, dtype, size, lambda a, b: a + b, depth)
+
+
+def tree_or(df: DataFrame, size: int, depth: int = 3) -> np.ndarray:
+    """Bytewise OR, as ``tree_sum``."""
+    return _tree(df, np.uint8, size, lambda a, b: a | b, depth)
