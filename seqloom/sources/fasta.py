@@ -14,7 +14,7 @@ def parse_fasta(content: Column) -> Column:
     fine; text before the first record is ignored.
     """
     body = F.concat(F.lit("\n"), F.replace(content, F.lit("\r"), F.lit("")))
-    parts = F.slice(F.split(body, "\n>"), 2, 2**31 - 1)
+    parts = F.filter(F.split(body, "\n>"), lambda _, i: i > 0)
     cut = lambda p: F.instr(p, "\n")
     name = lambda p: F.when(cut(p) > 0, F.substring(p, F.lit(1), cut(p) - 1)).otherwise(p)
     rest = lambda p: F.when(cut(p) > 0, F.substring(p, cut(p) + 1, F.lit(2**31 - 1))).otherwise(F.lit(""))
