@@ -121,7 +121,10 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int =
     train = order[n // 5 :] if n >= 20 else order
     z = ((x - mean) / scale).astype(np.float32)
     m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(epochs if 0 < y.sum() < n else 0):
+    if not 0 < y.sum() < n:  # nothing to tell apart: the prior alone
+        p[2][:] = 0
+        epochs = 0
+    for _ in range(epochs):
         for rows in np.array_split(rng.permutation(train), max(1, len(train) // 128)):
             h = np.tanh(z[rows] @ p[0] + p[1])
             d = (1 / (1 + np.exp(-(h @ p[2] + p[3]))) - y[rows]).astype(np.float32) / len(rows)

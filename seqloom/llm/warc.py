@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ def base32_sha1(data: bytes) -> str:
 
 def record_bytes(page_id, url: str, payload: bytes, digest: str, refers_to=None, compress: bool = True, level: int = 4) -> bytes:
     """One response record, or a revisit (headers only) if ``refers_to`` is an id."""
-    uri = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
+    uri = "".join(c if c.isprintable() else quote(c) for c in url or f"urn:page:{page_id}")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
@@ -75,12 +76,16 @@ def _parse(data: bytes, at: int, end: int) -> tuple[Record, int] | str:
     stop = data.find(b"\r\n\r\n", at, end)
     if stop < 0:
         return "header without end"
+    if _VERSION.search(data, at + 1, stop):
+        return "version line within a header"
     headers = {}
     for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         k, colon, v = line.partition(":")
-        if not colon:
+        if not colon or not line.isprintable():
             return "bad header line"
         headers[k.strip().lower()] = v.strip()
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        return "mandatory header missing"
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return "bad length"
