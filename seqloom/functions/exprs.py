@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from .alphabet import AMINO, IGNORED, REDUCED, codons
 
+#: The alphabet's digits as numbers of that base are written.
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"[: len(AMINO)]
+
 
 def residues_of_text(text: Column) -> Column:
     """Letters only, upper-cased, ignored letters masked: any text as residues."""
@@ -43,21 +46,18 @@ def amino_digit(letter: Column) -> Column:
 
 
 def hash_kmer(residues: Column, at, k: int) -> Column:
-    """Base-23 number of the k letters from 0-based ``at``; -1 if one is outside the alphabet. One flat
-    expression, so it stays in generated code. Thirteen letters fill a long."""
+    """Base-23 number of the k letters from 0-based ``at``; -1 if one is outside the alphabet. Thirteen letters fill
+    a long."""
     if k > 13:
         raise ValueError("a number of more than 13 letters does not fit")
     at = at if isinstance(at, Column) else F.lit(at)
     part = F.substring(residues, at + 1, F.lit(k))
-    total = None
-    for i in range(k):
-        d = (F.instr(F.lit(AMINO), F.substring(part, F.lit(i + 1), F.lit(1))).cast("long") - 1) * F.lit(23 ** (k - 1 - i))
-        total = d if total is None else total + d
-    return F.when(part.rlike(f"^[{AMINO}]{{{k}}}$"), total).otherwise(F.lit(-1).cast("long"))
+    number = F.conv(F.translate(part, AMINO, _DIGITS), len(AMINO), 10).cast("long")
+    return F.when(part.rlike(f"^[{AMINO}]{{{k}}}$"), number).otherwise(F.lit(-1).cast("long"))
 
 
 def unhash_kmer(number: Column, k: int) -> Column:
-    return F.concat(*(F.substring(F.lit(AMINO), (F.pmod(F.floor(number / F.lit(23 ** (k - 1 - i))), F.lit(23)) + 1).cast("int"), F.lit(1)) for i in range(k)))
+    return F.translate(F.lpad(F.lower(F.conv(number.cast("string"), 10, len(AMINO))), k, "0"), _DIGITS, AMINO)
 
 
 def reduce_alphabet(residues: Column) -> Column:

@@ -46,7 +46,7 @@ def normal(df):
     import math
 
     def cell(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or str(v) == "<NA>" or isinstance(v, float) and math.isnan(v):
             return "NULL"
         if hasattr(v, "tolist"):
             v = v.tolist()
