@@ -113,6 +113,24 @@ def fasta_record(name: Column, residues: Column, space: bool = False, asterisk:
     return F.concat(head, F.lit("\n"), residues, F.lit("*" if asterisk else ""))
 
 
+def render_link(link: Column) -> Column:
+    """A link to a fragment as text."""
+    return F.format_string("%d (%d, %d) %s", link["coarse_id"], link["c_start"], link["c_end"], link["diff"])
+
+
+def render_inverse_link(org_seq_id: Column, c_start: Column, c_end: Column) -> Column:
+    return F.format_string("%d (%d, %d)", org_seq_id, c_start, c_end)
+
+
+def render_compressed(name: Column, links: Column) -> Column:
+    """A compressed sequence as text: its name, then a line a link."""
+    return F.concat_ws("\n", F.array(F.concat(F.lit("> "), name)), F.transform(links, render_link))
+
+
+def render_mod(mod: Column) -> Column:
+    return F.format_string("%s (%d, %d) %s", mod["kind"], mod["start"], mod["end"], mod["residues"])
+
+
 # --- predicates -------------------------------------------------------------------------------------------------
 
 def run_pattern(w: int, letters: str = AMINO) -> str:

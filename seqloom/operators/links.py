@@ -1,7 +1,7 @@
 """Links between sequences and fragments: expansion, decompression and their statistics."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -34,6 +34,18 @@ def expand_hits(hits: DataFrame, links: DataFrame, max_evalue: float = 5.0) -> D
     return h.join(links, "coarse_id").where(exprs.interval_overlap(F.col("hs"), F.col("he"), F.col("c_start"), F.col("c_end"))).select("query_id", "org_seq_id", "coarse_id", "evalue")
 
 
+def expand_whole(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct originals that any part of the fragments ``ids(coarse_id)`` went into."""
+    own = ids.select(F.col("coarse_id").alias("want")).distinct()
+    return links.join(own, F.col("coarse_id") == F.col("want"), "left_semi").select("org_seq_id").distinct()
+
+
+def first_match(candidates: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first candidate of each key in order: as a rank filter, which Spark cuts before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return candidates.withColumn("match_rank", rank).where("match_rank = 1").drop("match_rank")
+
+
 def distinct_originals(expanded: DataFrame) -> DataFrame:
     """Each reached sequence once, with its best e-value."""
     return expanded.groupBy("org_seq_id").agg(F.min("evalue").alias("evalue"))

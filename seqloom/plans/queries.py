@@ -186,6 +186,21 @@ def two_sided_expand(spark, sf_dir):
     return a.withColumn("side", F.lit("target")).unionByName(b.withColumn("side", F.lit("query"))).select("side", "org_seq_id", F.round("evalue", 6).alias("evalue"))
 
 
+def expand_whole(spark, sf_dir):
+    h, k = _order_hits(spark, sf_dir)
+    return links.expand_whole(h.where(F.col("evalue") < 0.5), k)
+
+
+def render_links(spark, sf_dir):
+    _, k = _order_hits(spark, sf_dir)
+    return k.groupBy(exprs.render_inverse_link(F.col("org_seq_id"), F.col("c_start"), F.col("c_end")).alias("link")).agg(F.count("*").alias("n"))
+
+
+def first_match(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return links.first_match(li, "l_orderkey", ["l_partkey", "l_suppkey", "l_linenumber"])
+
+
 def top_band_hits(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("subject_id"), F.col("l_extendedprice").alias("bit_score"))
     return sets.top_band(li, 50)
@@ -299,7 +314,7 @@ _P = ", ".join(f"('{k}', '{int(v) if isinstance(v, bool) else v}')" for k, v in
 
 QUERIES = {f.__name__: f for f in (
     residue_normalize, reduce_alphabet, reverse_complement, six_frame_translate, kmer_seed_index, kmer_hash_roundtrip, low_complexity, seed_postings, pairwise_identity, db_stats, compression_ratio, links_per_fragment, compress_roundtrip,
-    compressed_csv_roundtrip, seed_join_candidates, interval_expand, expanded_distinct, two_sided_expand, top_band_hits, edit_script_apply, gapped_lengths, align_first_window, two_stage_search, one_stage_search, accuracy_summary, translated_search,
+    compressed_csv_roundtrip, seed_join_candidates, interval_expand, expanded_distinct, two_sided_expand, expand_whole, render_links, first_match, top_band_hits, edit_script_apply, gapped_lengths, align_first_window, two_stage_search, one_stage_search, accuracy_summary, translated_search,
     sample_records, append_union, dedup_exact, fasta_roundtrip, tabular_roundtrip, xml_roundtrip, params_roundtrip)}
 
 _RUN3 = exprs.run_pattern(3)
@@ -321,6 +336,9 @@ ORACLES = {
     "interval_expand": f"{_HITS_SQL} SELECT coarse_id, count(*) AS n, count(DISTINCT org_seq_id) AS n_originals, count(DISTINCT query_id) AS n_queries FROM x GROUP BY coarse_id",
     "expanded_distinct": f"{_HITS_SQL} SELECT org_seq_id, round(min(evalue), 6) AS evalue FROM x GROUP BY org_seq_id",
     "two_sided_expand": f"{_HITS_SQL}, d AS (SELECT org_seq_id, round(min(evalue), 6) AS evalue FROM x GROUP BY org_seq_id) SELECT 'target' AS side, * FROM d UNION ALL SELECT 'query', * FROM d",
+    "expand_whole": f"{_HITS_SQL} SELECT DISTINCT org_seq_id FROM k WHERE coarse_id IN (SELECT coarse_id FROM h WHERE evalue < 0.5)",
+    "render_links": f"{_HITS_SQL} SELECT org_seq_id::VARCHAR || ' (' || c_start::VARCHAR || ', ' || c_end::VARCHAR || ')' AS link, count(*) AS n FROM k GROUP BY 1",
+    "first_match": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) = 1",
     "top_band_hits": "SELECT l_orderkey AS query_id, l_linenumber AS subject_id, l_extendedprice AS bit_score FROM lineitem QUALIFY l_extendedprice >= 0.5 * max(l_extendedprice) OVER (PARTITION BY l_orderkey)",
     "edit_script_apply": f"{_SEQ} SELECT seq_id, md5(substr(residues, 1, 3) || 'W' || substr(residues, 6) || 'ACD') AS digest, true AS canonical FROM s WHERE length(residues) > 10",
     "gapped_lengths": f"{_SEQ} SELECT seq_id, length(replace(residues, 'E', ''))::BIGINT AS n FROM s",

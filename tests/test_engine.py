@@ -3,6 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import exprs
 from seqloom.functions.tables import SEQUENCES
 from seqloom.operators import compress as C
 from seqloom.operators import kmers, links, sets
@@ -48,6 +49,20 @@ def test_one_bucket_finds_copies(seqs):
     assert links.compression_ratio(seqs, coarse).first()["ratio"] < 75
 
 
+def test_reduced_alphabet(spark):
+    rows = [(i, n, "".join(c for c in r if c not in "O")) for i, n, r in proteins()]
+    df = spark.createDataFrame(rows, SEQUENCES)
+    compressed, coarse = C.compress_reduced(df, buckets=1)
+    want = {r["seq_id"]: r["x"] for r in df.select("seq_id", exprs.reduce_alphabet(F.col("residues")).alias("x")).collect()}
+    assert {r["seq_id"]: r["residues"] for r in links.decompress(compressed, coarse).collect()} == want
+
+
+def test_renderers(spark):
+    df = spark.createDataFrame([("n", [(1, 2, 3, "s0A"), (4, 0, 9, "")])], "name string, links array<struct<coarse_id: long, c_start: int, c_end: int, diff: string>>")
+    r = df.select(exprs.render_compressed(F.col("name"), F.col("links")).alias("a"), exprs.render_mod(exprs.parse_script(F.lit("s3AB"))[0]).alias("b")).first()
+    assert tuple(r) == ("> n\n1 (2, 3) s0A\n4 (0, 9) ", "s (3, 5) AB")
+
+
 def test_unknown_fragment_is_an_error(spark):
     bad = spark.createDataFrame([(0, "x", [(9, 0, 1, "")])], "seq_id long, name string, links array<struct<coarse_id: long, c_start: int, c_end: int, diff: string>>")
     with pytest.raises(Exception, match="no such fragment"):
@@ -91,6 +106,8 @@ def test_store(spark, seqs, tmp_path):
     assert got == {**{i: r for i, _, r in proteins()}, 8: BASE[:100], 9: BASE}
     assert Database.open(spark, path).params.db_size == sum(len(r) for _, _, r in proteins()) + 100 + len(BASE)
     assert db.seeds.count() > 0 and db.lookup(spark.createDataFrame([(9,)], "seq_id long")).first()["residues"] == BASE
+    one = spark.createDataFrame([(0,)], "coarse_id long")
+    assert db.fragments(one).count() == 1 and db.fragment_links(one).count() >= 1
     db.compact(1)
     assert Database.open(spark, path).sequences().count() == 10
     closed = Database.create(spark, str(tmp_path / "ro"), seqs)
