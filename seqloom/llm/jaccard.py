@@ -23,14 +23,15 @@ from .textkit import mix, ngrams, slices, words
 
 @dataclass(frozen=True)
 class Join:
-    """Links where 100 * intersection >= ``percent`` * union. ``sample_docs`` bounds the sample that orders
-    shingles (speed only, never the result); ``block_rows`` the list entries of one block of the product."""
+    """Links where 100 * intersection >= ``percent`` * union. One document in ``sample_every`` is looked through for
+    frequent shingles, which only sets the order (speed, never the result); ``block_rows`` the list entries of one block of the product, ``long_list`` where a list counts as long."""
 
     words: int = 5
     percent: int = 75
-    sample_docs: int = 4096
+    sample_every: int = 16
     sample_least: int = 3
-    block_rows: int = 200_000
+    long_list: int = 32
+    block_rows: int = 500_000
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
@@ -58,18 +59,37 @@ def need(n: int, m: int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _frequent(df: DataFrame, total: int, j: Join) -> np.ndarray:
-    """Sorted shingles that at least ``sample_least`` documents of the sample hold: at most the sample's over that."""
-    every = max(1, total // j.sample_docs)
-    rows = df.where(F.pmod(F.xxhash64("i"), F.lit(every)) == 0).select("t")
+def _bits_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Three bit numbers of each (well mixed) hash in a filter of ``size``, a power of two."""
+    h, low = hashes, np.uint64(size - 1)
+    return np.stack([h & low, (h >> np.uint64(19)) & low, (h >> np.uint64(38)) & low])
+
+
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter over the only (long) column: 16 an entry, 8 MB at most, so that it can go everywhere."""
+    size = min(max(1 << 16, 1 << int(16 * max(hashes.count(), 1) - 1).bit_length()), 1 << 26)
+
+    def run(batches):
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[_bits_of(b.column(0).to_numpy().view(np.uint64), size)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["v"])
+
+    return np.unpackbits(tree_or(hashes.coalesce(16).mapInArrow(run, "v binary"), size // 8)).astype(bool)
+
+
+def _frequent(df: DataFrame, j: Join) -> np.ndarray:
+    """Filter of the shingles that at least ``sample_least`` documents of the sample hold. A shingle that it holds
+    by chance is ordered like a frequent one everywhere, so the order stays one order."""
+    rows = df.where(F.pmod(F.xxhash64("i"), F.lit(j.sample_every)) == 0).select("t")
 
     def run(batches):
         for b in slices(batches, "t"):
             sets = shingle_sets(b.column("t"), j.words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    hot = rows.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= j.sample_least).select("h").toArrow()
-    return np.sort(hot.column("h").to_numpy().view(np.uint64))
+    hot = rows.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= j.sample_least).select("h")
+    return _bloom(materialize(hot, "join-frequent"))
 
 
 def _member(sorted_array: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -88,7 +108,7 @@ def _signatures(df: DataFrame, frequent: np.ndarray, j: Join) -> DataFrame:
             sets = shingle_sets(b.column("t"), j.words)
             n = np.array([s.size for s in sets], np.int64)
             flat = np.concatenate(sets)
-            hot = _member(shared.value, flat)
+            hot = shared.value[_bits_of(flat, shared.value.size)].all(0)
             cut = np.concatenate([[0], np.cumsum(n)])
             sums = [np.array([m[a:e].sum() for a, e in zip(cut, cut[1:])], np.uint64).view(np.int64) for m in (mix(flat), mix(flat ^ np.uint64(0x5851F42D4C957F2D)))]
             prefix = []
@@ -103,33 +123,21 @@ def _signatures(df: DataFrame, frequent: np.ndarray, j: Join) -> DataFrame:
     return df.mapInArrow(run, "i long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def _bits_of(ids: np.ndarray, size: int) -> np.ndarray:
-    h = mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([h % np.uint64(size), (h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(size), mix(h) % np.uint64(size)])
-
-
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter over ids: 16 an id, 8 MB at most, so that it can go to every executor."""
-    size = min(max(1 << 16, 1 << int(16 * max(ids.count(), 1) - 1).bit_length()), 1 << 26)
+def _whole_sets(df: DataFrame, ids: DataFrame, j: Join) -> DataFrame:
+    """``i, s`` (6 bytes a shingle) for the texts whose id is among ``ids`` (and a few more)."""
+    def mixed(ids: np.ndarray) -> np.ndarray:
+        return mix(ids.view(np.uint64))
 
-    def run(batches):
-        bits = np.zeros(size, bool)
+    def hashed(batches):
         for b in batches:
-            bits[_bits_of(b.column(0).to_numpy(), size)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["v"])
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(b.column(0).to_numpy()).view(np.int64))], names=["h"])
 
-    return np.unpackbits(tree_or(ids.coalesce(16).mapInArrow(run, "v binary"), size // 8)).astype(bool)
-
-
-def _whole_sets(df: DataFrame, ids: DataFrame, j: Join) -> DataFrame:
-    """``i, s`` (6 bytes a shingle) for the texts whose id is among ``ids`` (and a few more)."""
-    shared = df.sparkSession.sparkContext.broadcast(_bloom(ids))
+    shared = df.sparkSession.sparkContext.broadcast(_bloom(ids.mapInArrow(hashed, "h long")))
 
     def run(batches):
         for whole in batches:
             ids = whole.column("i").fill_null(0).to_numpy()
-            at = _bits_of(ids, shared.value.size)
-            keep = shared.value[at].all(0) & whole.column("i").is_valid().to_numpy(zero_copy_only=False)
+            keep = shared.value[_bits_of(mixed(ids), shared.value.size)].all(0) & whole.column("i").is_valid().to_numpy(zero_copy_only=False)
             for b in slices([whole.filter(pa.array(keep))], "t"):
                 sets = [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(b.column("t"), j.words)]
                 yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(sets, pa.binary())], names=["i", "s"])
@@ -166,45 +174,63 @@ def _check(df: DataFrame, pairs: DataFrame, j: Join, width: int = 256) -> DataFr
     return left.unionByName(right).groupBy("b", "block").applyInArrow(product, "a long, b long")
 
 
-def _cross_pairs(lists: DataFrame, j: Join) -> DataFrame:
-    """``a, b, c``: members of different groups that share ``c`` listed shingles and have sizes that can link."""
-    blocks = max(1, -(-lists.count() // j.block_rows))
+def _cross_pairs(lists: DataFrame, blocks: int, j: Join) -> DataFrame:
+    """``a, b, la, lb, na, nb, ka, kb, c, pa, pb``: members of different groups that share ``c`` listed shingles, the last
+    at places ``pa`` and ``pb`` of their orders, and can link.
+
+    In a list of more than ``long_list`` members only those pairs meet that long lists alone can link: if both hold
+    fewer shingles of long lists (``ka``, ``kb``) than they need in common, a shorter list has them too, and ``c``
+    lacks those of the long ones.
+    """
+    names = ("a", "b", "la", "lb", "na", "nb", "ka", "kb")
 
     def run(table: pa.Table) -> pa.Table:
-        h, rep, n, group = (table.column(c).to_numpy() for c in ("h", "rep", "n", "label"))
+        h, rep, n, pos, group, long = (table.column(c).to_numpy() for c in ("h", "rep", "n", "pos", "label", "n_long"))
         order = np.lexsort((n, h))
-        h, rep, n, group = h[order], rep[order], n[order], group[order]
+        h, rep, n, pos, group, long = (x[order] for x in (h, rep, n, pos, group, long))
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        keys, counts, held, size = [], [], [], 0
+        _, rows, member = np.unique(rep, return_index=True, return_inverse=True)
+        held, size = [], 0
 
-        def settle():
-            if held:
-                a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-                pair, c = np.unique(np.stack([a, b]), axis=1, return_counts=True)
-                keys.append(pair)
-                counts.append(c)
-                held.clear()
+        def settle(parts):
+            """One (key, count, places) for each pair."""
+            key, c, p, q = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+            return key[order][start], np.add.reduceat(c[order], start), np.maximum.reduceat(p[order], start), np.maximum.reduceat(q[order], start)
 
         for s, e in zip(cut, cut[1:]):
+            if (group[s:e] == group[s]).all():
+                continue
+            hot = e - s > j.long_list
             for x in range(s, e - 1):
                 stop = s + np.searchsorted(n[s:e], n[x] * 100 // j.percent, "right")
                 y = np.arange(x + 1, stop)
-                y = y[group[y] != group[x]]
+                most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+                y = y[(group[y] != group[x]) & (most >= need(n[x], n[y], j.percent))]
+                if hot and y.size:
+                    y = y[np.minimum(long[y], long[x]) >= least_shared(n[x], n[y], j.percent)]
                 if y.size:
-                    held.append((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])))
+                    u, v = np.full(y.size, member[x]), member[y]
+                    low, p, q = u < v, np.full(y.size, pos[x]), pos[y]
+                    held.append((np.minimum(u, v) << 32 | np.maximum(u, v), np.ones(y.size, np.int64), np.where(low, p, q), np.where(low, q, p)))
                     size += y.size
             if size > 500_000:
-                settle()
-                size = 0
-        settle()
-        if not keys:
-            return pa.table({c: pa.array([], pa.int64()) for c in "abc"})
-        pair, inverse = np.unique(np.concatenate(keys, axis=1), axis=1, return_inverse=True)
-        c = np.bincount(inverse.reshape(-1), np.concatenate(counts)).astype(np.int64)
-        return pa.table({"a": pair[0], "b": pair[1], "c": c})
+                held, size = [settle(held)], 0
+        key, c, p, q = settle(held) if held else [np.zeros(0, np.int64)] * 4
+        a, b = rows[key >> 32], rows[key & (1 << 32) - 1]
+        return pa.table(dict(zip((*names, "c", "pa", "pb"), (rep[a], rep[b], group[a], group[b], n[a], n[b], long[a], long[b], c, p, q))))
 
     parted = lists.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    return parted.groupBy("block").applyInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    found = parted.groupBy("block").applyInArrow(run, ", ".join(f"{k} long" for k in (*names, "c", "pa", "pb")))
+    return found.groupBy(*names).agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+
+
+def least_shared(n, m, percent: int):
+    """How many shingles two sets that link share within their prefixes, at least: what they need in common, less
+    what can stand behind the prefix that ends first."""
+    rest = lambda k: k - prefix_length(k, percent)
+    return need(n, m, percent) - np.maximum(rest(n), rest(m))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -216,29 +242,39 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     j, percent = join, join.percent
     rows = df.select(df[id_col].cast("long").alias("i"), df[text_col].cast("string").alias("t"))
-    signed = materialize(_signatures(rows, _frequent(rows, rows.count(), j), j), "join-signatures")
+    signed = materialize(_signatures(rows, _frequent(rows, j), j), "join-signatures")
     classes = signed.where("n > 0 and i is not null").groupBy("n", "s1", "s2").agg(F.min("i").alias("rep"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "join-classes")
 
     w = "partition by h"
-    lists = classes.select("rep", "n", F.explode("prefix").alias("h"))
-    lists = lists.select("h", "rep", "n", F.expr(f"min(struct(rep, n)) over ({w})").alias("head"), F.expr(f"max(rep) over ({w})").alias("last"))
-    lists = materialize(lists.where("head.rep <> last").select("h", "rep", "n", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "join-lists")
-
-    fits = (F.col("rep") != F.col("head")) & (F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent)
-    star = lists.where(fits).groupBy("rep", "head").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("head", F.struct("c", "head")).alias("b"))
+    lists = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "rep", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    lists = lists.select("h", "rep", "at", F.expr(f"min(struct(rep, at)) over ({w})").alias("head"), F.expr(f"max(rep) over ({w})").alias("last"), F.expr(f"count(*) over ({w})").alias("k"))
+    lists = materialize(lists.where("head.rep <> last").select("h", "rep", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"), (F.col("k") > j.long_list).alias("long"), F.col("head.rep").alias("head"), F.shiftright("head.at", 32).alias("head_n")), "join-lists")
+
+    # the first product: each class with the head that it shares most lists with, if they promise a link; a link that
+    # is passed over here is found below
+    star = lists.where(F.col("rep") != F.col("head")).groupBy("rep", "head", "n", "head_n").agg(F.count("*").alias("c"))
+    fits = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
+    likely = F.col("c") >= F.lit(percent) * (F.col("n") + F.col("head_n")) / F.lit(100 + percent) - F.lit(percent / 100) * F.least("n", "head_n")
+    star = star.where(fits & likely).groupBy("rep").agg(F.max_by("head", F.struct("c", "head")).alias("b"))
     first = materialize(_check(rows, materialize(star.select(F.col("rep").alias("a"), "b"), "join-pairs"), j), "join-links")
-    grouped = components(first)
-
-    own = lists.select("h", "rep", "n").join(grouped, F.col("rep") == F.col("node"), "left").select("h", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    own = own.select("*", F.expr(f"min(label) over ({w})").alias("low"), F.expr(f"max(label) over ({w})").alias("high")).where("low <> high").drop("low", "high")
-    pairs = _cross_pairs(materialize(own, "join-open"), j)
-    size = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("size"))
-    pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
-    rest = F.greatest(F.col("na") - _prefix(F.col("na"), percent), F.col("nb") - _prefix(F.col("nb"), percent))
+
+    held = lists.groupBy(F.col("rep").alias("id")).agg(F.count_if("long").alias("n_long"))
+    held = held.join(components(first), F.col("id") == F.col("node"), "left").select("id", "n_long", F.coalesce("label", "id").alias("label"))
+    own = lists.select("h", "rep", "n", "pos").join(held, F.col("rep") == F.col("id")).select("h", "rep", "n", "pos", "label", "n_long")
+    pairs = _cross_pairs(own, max(1, -(-lists.count() // j.block_rows)), j)
+    long, shared = F.least("ka", "kb"), _least_shared("na", "nb", percent)
+    unseen = F.when(long < shared, long).otherwise(0)
+    # all that two sets share: what was seen, the long lists' part, and at most what stands behind the last one seen
+    most = F.col("c") + unseen + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     needed = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    pairs = materialize(pairs.where(F.col("c") >= needed - rest).select("a", "b"), "join-pairs")
-    links = first.unionByName(_check(rows, pairs, j))
+    pairs = materialize(pairs.where((F.col("c") >= shared - unseen) & (most >= needed)), "join-pairs")
+    # of each two groups the likeliest pair first; the others only if that leaves them apart
+    best = pairs.groupBy(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
+    second = materialize(_check(rows, materialize(best.select("p.a", "p.b"), "join-best"), j), "join-links")
+    links = first.unionByName(second)
+    merged = materialize(_merge_groups(pairs, second), "join-rest")
+    links = links.unionByName(_check(rows, merged, j))
 
     labels = components(links)
     keys = ["n", "s1", "s2"]
@@ -247,8 +283,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("i")).alias("component_id"))
 
 
-def _prefix(n, percent: int):
-    return n - F.ceil(n * F.lit(percent) / F.lit(100)) + 1
+def _merge_groups(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose groups the links (pairs, too) leave apart."""
+    joined = links.join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    now = components(joined)
+    at = lambda c, to: now.select(F.col("node").alias("node_" + c), F.col("label").alias(to))
+    named = pairs.join(at("a", "ga"), F.col("la") == F.col("node_a"), "left").join(at("b", "gb"), F.col("lb") == F.col("node_b"), "left")
+    return named.where(F.coalesce("ga", "la") != F.coalesce("gb", "lb")).select("a", "b")
+
+
+def _least_shared(n: str, m: str, percent: int):
+    """``least_shared`` of two columns, 1 at least."""
+    n, m = F.col(n), F.col(m)
+    rest = lambda k: F.ceil(k * F.lit(percent) / F.lit(100)) - 1
+    return F.greatest(F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent)) - F.greatest(rest(n), rest(m)), F.lit(1))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
