@@ -89,7 +89,8 @@ class Index:
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Scaled BM25 of every segment for a set of distinct terms."""
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms]) if terms.size else np.zeros(0, np.int64)
+        start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return np.bincount(self.post_seg[at], self.weight[at], self.seg_item.size)
 
     def search(self, col) -> list[tuple[int, int, float, float, float]]:
