@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tree_sum
+from .shared import Shared, tree_sum
 from .textkit import crc_rows, slices, words
 
 UNITS = 1 << 12  # buckets for whole words, and as many for word endings
@@ -175,7 +175,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
     Null and empty texts get the score of no words; repeated rows score alike; an empty table gives an empty table;
     labels and other columns never enter the score.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df.sparkSession, model)
 
     def run(batches):
         for b in slices(batches, "t"):
@@ -188,7 +188,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
 
 def keep_quality(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``df`` that the model does not reject, with all their columns, in one narrow pass."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df.sparkSession, model)
 
     def run(batches):
         for b in slices(batches, text_col):

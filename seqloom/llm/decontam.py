@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Shared
 from .textkit import NON_ALNUM, ngrams, slices, words
 
 
@@ -156,12 +157,12 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     texts and items match each for themselves; an empty table gives an empty table; other columns are ignored.
     BM25 statistics are those of one block of items.
     """
-    sc, rows = df.sparkSession.sparkContext, df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t"))
+    rows = df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t"))
     kinds = dict(df.dtypes)[id_col], dict(items.dtypes)[item_id_col]
     names = [id_col, item_id_col if item_id_col != id_col else "item_" + item_id_col, "score", "question_overlap", "answer_overlap", "leaked"]
 
     def searched(index):
-        shared = sc.broadcast(index)  # bounded by Settings.max_items and max_chars
+        shared = Shared(df.sparkSession, index)  # bounded by Settings.max_items and max_chars
 
         def run(batches):
             item_type = pa.infer_type(shared.value.ids) if shared.value.ids else pa.int64()
@@ -180,7 +181,7 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``df`` in which no item leaks, with all their columns, in one narrow pass a block of items."""
     for index in build_indexes(items, settings, item_id_col, item_text_col):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+        shared = Shared(df.sparkSession, index)
 
         def run(batches, shared=shared):
             for b in slices(batches, text_col):

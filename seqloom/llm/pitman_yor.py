@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Shared, materialize
 from .textkit import crc_rows, mix, slices, span_hash, words
 
 #: Bits kept of the last, second last and third last letter: 2 ** 17 contexts at most.
@@ -387,7 +387,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     none). Null and empty texts are one end token; a null id counts as empty text; repeated rows count each; an
     empty table gives an empty table; with nothing to learn from, every token is unseen. Other columns are ignored.
     """
-    s, sc = settings, df.sparkSession.sparkContext
+    s = settings
     kind = dict(df.dtypes)[id_col]
     read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     ranges = int(min(max(4, -(-read // s.range_bytes)), 1 << 16))
@@ -415,7 +415,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     order = np.argsort(key[key >= 0])
     letters = LetterModel(key[key >= 0][order], value[key >= 0][order].astype(np.int64), s)
     n = Totals(int(sums[0]), int(sums[1]), discount(*sums[2:4]), discount(*sums[4:6]), sums[6 : 6 + CONTEXTS], sums[6 + CONTEXTS :], letters)
-    shared = sc.broadcast(n)
+    shared = Shared(df.sparkSession, n)
     state = [Sums(n.pairs, float(n.pairs.sum()), float(n.types), 0.0)] * s.samples
 
     for turn in range(s.rounds):

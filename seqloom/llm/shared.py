@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -19,6 +20,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Shared:
+    """A broadcast whose value travels with the code of its classes, so executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._sent.value)
+        return self._value
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_value": None}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
