@@ -1,16 +1,20 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each class of preceding words is a context with a restaurant of its own; all of them share the restaurant of words as
-their parent; a word's first table there asks its letters, which sit in restaurants for contexts of up to three
-letters, where a context's parent is the context without its oldest letter. Seatings are drawn by Gibbs sweeps over
-tables, and predictive probabilities are averaged over several of them. Outcomes are the V words of the training
-texts (the end of a text is one) and one more, any other word: what letters give to all unseen words together.
+Each preceding word (known by its hash in full) is a context with a restaurant of its own; all of them share the
+restaurant of words as their parent; a word's first table there asks its letters, which sit in restaurants for
+contexts of up to three letters, where a context's parent is the context without its oldest letter. Seatings are
+drawn by blocked sweeps: all customers of a dish leave their restaurant and sit down again one after another, given
+the tables of everyone else as the sweep before left them. A block is drawn in sequence, not from its exact
+conditional, and restaurants move at the same time, so this is a parallel approximation of Gibbs sampling.
+Predictive probabilities are averaged over several chains. Outcomes are the V words of the training texts (the end of
+a text is one) and one more, any other word: what letters give to all unseen words together.
 
 Data flow: texts are cut into chunks (token stream + chunk vocabulary of context and word pairs); chunk vocabularies
-meet by hash range of the word, where pairs get corpus counts and probabilities; these go back to their chunks and
-are summed by text. No task holds more than a chunk or a range, no token is shuffled, a frequent pair is one entry a
-chunk, and the driver gets only the letter model and sums by context, both bounded by the number of contexts. A word
-is known by 58 bits of its hash.
+meet by hash range of the word, where pairs get corpus counts and seats. A restaurant's customers and tables lie in
+many ranges of words: after each sweep they meet by hash range of the context, and the sums go back to the ranges that
+asked. Probabilities go back to their chunks and are summed by text. No task holds more than a chunk or a range, no
+token is shuffled, a frequent pair is one entry a chunk, and the driver gets only the letter model and three sums a
+range and chain.
 """
 from __future__ import annotations
 
@@ -29,8 +33,8 @@ from .textkit import crc_rows, mix, slices, span_hash, words
 BITS = (7, 5, 5)
 END = 0x20  # of a word; no letter of a word
 START = 0  # stands before a word
-CONTEXTS = 64  # 0: start of a text; else a class of the preceding word
-_CLASS = np.uint64(CONTEXTS - 1)
+BEGIN = np.uint64(0)  # context at the start of a text; else the hash of the preceding word
+_PAIR = np.int64(32)  # a pair is word number << 32 | context number
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,7 @@ class Settings:
     chunk_words: int = 1_500_000
     range_bytes: int = 32 << 20  # input bytes behind each hash range
     sweeps: int = 12  # of the letters' restaurants
-    rounds: int = 2  # sweeps of words and contexts, each given the sums of the one before
+    rounds: int = 3  # sweeps of words and contexts, each given the seats of the one before
     samples: int = 3
     theta: float = 1.0
     seed: int = 9
@@ -49,12 +53,26 @@ class Settings:
 # --- chunks ---------------------------------------------------------------------------------------------------
 
 def pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) if a.size else b""
+    """Compressed, first bytes of all values first."""
+    a = np.ascontiguousarray(a).ravel()
+    return pa.compress(a.view(np.uint8).reshape(a.size, -1).T.tobytes(), codec="zstd", asbytes=True) if a.size else b""
 
 
 def unpack(b: bytes, dtype, n: int) -> np.ndarray:
-    size = n * np.dtype(dtype).itemsize
-    return np.frombuffer(pa.decompress(b, size, codec="zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
+    width = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(b, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
+
+
+def pack_steps(a: np.ndarray) -> bytes:
+    """As ``pack``, for unsigned values that mostly rise."""
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unpack_steps(b: bytes, dtype, n: int) -> np.ndarray:
+    return np.cumsum(unpack(b, dtype, n), dtype=dtype)
 
 
 def letters_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -80,7 +98,7 @@ class Chunk:
 
     def __init__(self):
         self.ids, self.held, self.len, self.n = [], [], [], 0
-        self.key, self.letters, self.size, self.count, self.stream = [], [], [], [], []
+        self.hash, self.letters, self.size, self.key, self.count, self.stream = [], [], [], [], [], []
 
     def add(self, ids, col, held: np.ndarray) -> None:
         w = words(col, lower=True)
@@ -89,46 +107,49 @@ class Chunk:
         starts = np.insert(w.starts, at, w.off[1:])
         ends = np.insert(w.ends, at, w.off[1:])
         h = np.insert(w.hash, at, letters_hash(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0])
-        before = np.zeros(h.size, np.uint64)
-        before[1:] = (h[:-1] >> np.uint64(8)) % _CLASS + np.uint64(1)
+        own, first, word = np.unique(h, return_index=True, return_inverse=True)
+        before = np.zeros(h.size, np.int64)  # 0: start of a text; else 1 + number of the preceding word
+        before[1:] = word[:-1] + 1
         before[w.first[:-1] + np.arange(w.counts.size)] = 0
-        key, first, inverse = np.unique(h & ~_CLASS | before, return_index=True, return_inverse=True)
-        new = np.concatenate([[True], key[1:] >> np.uint64(6) != key[:-1] >> np.uint64(6)])
-        size = np.where(new, ends[first] - starts[first], 0)
+        key, inverse = np.unique(word << _PAIR | before, return_inverse=True)
+        size = ends[first] - starts[first]
         self.ids.append(ids)
         self.held.append(held)
         self.len.append(w.counts + 1)
-        self.key.append(key)
+        self.hash.append(own)
         self.size.append(size)
         self.letters.append(take_letters(w.data, starts[first], size))
+        self.key.append(key)
         self.count.append(np.bincount(inverse, np.repeat(~held, w.counts + 1), key.size).astype(np.int64))
         self.stream.append(inverse.astype(np.uint32))
         self.n += h.size
 
     def rows(self, ranges: int):
-        """(part, words, pairs, letters, sizes, pair codes, counts) of each range, then the texts under part -1."""
-        key, size, data = np.concatenate(self.key), np.concatenate(self.size), np.concatenate(self.letters)
-        own, inverse = np.unique(key, return_inverse=True)
+        """The vocabulary of each range, then the texts under part -1, as rows of PART without the chunk."""
+        own, at, number = np.unique(np.concatenate(self.hash), return_index=True, return_inverse=True)
+        base, keys = 0, []
+        for k, h in zip(self.key, self.hash):
+            before = k & 0xFFFFFFFF
+            keys.append(number[base + (k >> _PAIR)] << _PAIR | np.where(before > 0, number[base + np.maximum(before, 1) - 1] + 1, 0))
+            base += h.size
+        pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         base, stream = 0, []
-        for idx, sub in zip(self.stream, self.key):
-            stream.append(inverse[base : base + sub.size].astype(np.uint32)[idx])
-            base += sub.size
-        total = np.bincount(inverse, np.concatenate(self.count), own.size).astype(np.int64)
-        new = np.concatenate([[True], own[1:] >> np.uint64(6) != own[:-1] >> np.uint64(6)])
-        # letters stand with the first pair of a word in each slice: any of them will do
-        word = np.cumsum(new) - 1
-        lead = np.concatenate([np.concatenate([[True], k[1:] >> np.uint64(6) != k[:-1] >> np.uint64(6)]) for k in self.key])
-        at = np.zeros(int(new.sum()), np.int64)
-        at[word[inverse[lead]]] = np.flatnonzero(lead)
+        for idx, k in zip(self.stream, self.key):
+            stream.append(inverse[base : base + k.size].astype(np.uint32)[idx])
+            base += k.size
+        total = np.bincount(inverse, np.concatenate(self.count), pairs.size).astype(np.int64)
+        size, data = np.concatenate(self.size), np.concatenate(self.letters)
         offset = np.cumsum(size) - size
-        code = (own & _CLASS).astype(np.uint8) | (new.astype(np.uint8) << 7)
-        part = range_of(own, ranges)
-        wpart = part[new]
+        word, before = pairs >> _PAIR, pairs & 0xFFFFFFFF
+        part, context = range_of(own, ranges), np.concatenate([[BEGIN], own])
         for p in np.unique(part):
-            k, own_p = at[wpart == p], part == p
-            yield int(p), k.size, int(own_p.sum()), pack(take_letters(data, offset[k], size[k])), pack(size[k].astype(np.uint32)), pack(code[own_p]), pack(total[own_p].astype(np.uint32))
+            a, b = np.searchsorted(part, [p, p + 1])
+            i, j = np.searchsorted(word, [a, b])
+            used, local = np.unique(before[i:j], return_inverse=True)
+            v = Vocabulary(take_letters(data, offset[at[a:b]], size[at[a:b]]), size[at[a:b]], np.bincount(word[i:j] - a, minlength=b - a), context[used], local, total[i:j])
+            yield int(p), *v.row()
         held, n, stream = np.concatenate(self.held), np.concatenate(self.len), np.concatenate(stream)
-        yield -1, n.size, stream.size, pack(stream), pack(n.astype(np.uint32)), pack(held.astype(np.uint8)), b""
+        yield -1, n.size, stream.size, 0, pack(stream), pack(n.astype(np.uint32)), pack(held.astype(np.uint8)), b"", b""
 
 
 def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -136,11 +157,11 @@ def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-PART = "part int, chunk long, n long, m long, a binary, b binary, c binary, d binary"
+PART = "part int, chunk long, n long, m long, k long, a binary, b binary, c binary, d binary, e binary"
 
 
 def part_batch(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 5]
     return pa.table({x.split()[0]: pa.array([r[k] for r in rows], t) for k, (x, t) in enumerate(zip(PART.split(", "), kinds))})
 
 
@@ -174,25 +195,30 @@ def cut_chunks(df: DataFrame, id_col: str, text_col: str, ranges: int, s: Settin
 
 @dataclass
 class Vocabulary:
-    """The words of a range end to end, and their pairs in order of word and context."""
+    """The words of a range end to end, their contexts in order of hash, and pairs in order of word and context."""
 
     data: np.ndarray
     size: np.ndarray
-    code: np.ndarray
+    pairs: np.ndarray  # of each word
+    contexts: np.ndarray
+    context: np.ndarray  # of each pair, its place in ``contexts``
     count: np.ndarray
 
     @classmethod
     def of(cls, row) -> Vocabulary:
-        size = unpack(row["b"], np.uint32, row["n"]).astype(np.int64)
-        return cls(unpack(row["a"], np.uint8, int(size.sum())), size, unpack(row["c"], np.uint8, row["m"]), unpack(row["d"], np.uint32, row["m"]).astype(np.int64))
+        """Of a row of PART; without letters where these were left out."""
+        n, m = row["n"], row["m"]
+        size, pairs = unpack(row["b"], np.uint32, 2 * n).astype(np.int64).reshape(2, n)
+        data = np.zeros(0, np.uint8) if row["a"] is None else unpack(row["a"], np.uint8, int(size.sum()))
+        return cls(data, size, pairs, unpack_steps(row["c"], np.uint64, row["k"]), unpack_steps(row["d"], np.uint32, m).astype(np.int64), unpack(row["e"], np.uint32, m).astype(np.int64))
 
-    @property
-    def word(self) -> np.ndarray:
-        return np.cumsum(self.code >> 7, dtype=np.int64) - 1
+    def row(self) -> tuple:
+        sizes = np.concatenate([self.size, self.pairs]).astype(np.uint32)
+        return self.size.size, self.count.size, self.contexts.size, pack(self.data), pack(sizes), pack_steps(self.contexts), pack_steps(self.context.astype(np.uint32)), pack(self.count.astype(np.uint32))
 
     @property
-    def context(self) -> np.ndarray:
-        return (self.code & 63).astype(np.int64)
+    def word(self) -> np.ndarray:
+        return np.repeat(np.arange(self.size.size), self.pairs)
 
     @property
     def word_count(self) -> np.ndarray:
@@ -203,25 +229,73 @@ def merge_ranges(store: DataFrame) -> DataFrame:
     """One row a range with its words and pairs (chunk null), and one for each chunk with its pairs' numbers."""
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        part, all_words = rows[0]["part"], [Vocabulary.of(r) for r in rows]
-        keys = [(letters_hash(v.data, v.size) & ~_CLASS)[v.word] | v.context.astype(np.uint64) for v in all_words]
-        own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([v.count for v in all_words]), own.size).astype(np.int64)
-        new = np.concatenate([[True], own[1:] >> np.uint64(6) != own[:-1] >> np.uint64(6)])
-        size, data = np.concatenate([v.size for v in all_words]), np.concatenate([v.data for v in all_words])
-        base = np.cumsum([0, *(v.size.size for v in all_words)])
-        at = np.zeros(int(new.sum()), np.int64)
-        at[(np.cumsum(new) - 1)[inverse]] = np.concatenate([v.word + b for v, b in zip(all_words, base)])
+        part, every = rows[0]["part"], [Vocabulary.of(r) for r in rows]
+        own, at, number = np.unique(np.concatenate([letters_hash(v.data, v.size) for v in every]), return_index=True, return_inverse=True)
+        contexts, place = np.unique(np.concatenate([v.contexts for v in every]), return_inverse=True)
+        w, c, keys = 0, 0, []
+        for v in every:
+            keys.append(number[w + v.word] << _PAIR | place[c + v.context])
+            w, c = w + v.size.size, c + v.contexts.size
+        pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([v.count for v in every]), pairs.size).astype(np.int64)
+        size, data = np.concatenate([v.size for v in every]), np.concatenate([v.data for v in every])
         offset = np.cumsum(size) - size
-        code = (own & _CLASS).astype(np.uint8) | (new.astype(np.uint8) << 7)
-        cut = np.cumsum([0, *(v.code.size for v in all_words)])
-        out = [(part, None, at.size, own.size, pack(take_letters(data, offset[at], size[at])), pack(size[at].astype(np.uint32)), pack(code), pack(total.astype(np.uint32)))]
-        out += [(part, r["chunk"], 0, r["m"], pack(inverse[a:b].astype(np.uint32)), None, None, None) for r, a, b in zip(rows, cut, cut[1:])]
+        merged = Vocabulary(take_letters(data, offset[at], size[at]), size[at], np.bincount(pairs >> _PAIR, minlength=own.size), contexts, pairs & 0xFFFFFFFF, total)
+        cut = np.cumsum([0, *(v.count.size for v in every)])
+        out = [(part, None, *merged.row())]
+        out += [(part, r["chunk"], 0, r["m"], 0, pack_steps(inverse[a:b].astype(np.uint32)), *[None] * 4) for r, a, b in zip(rows, cut, cut[1:])]
         return part_batch(out)
 
     return store.where("part >= 0").drop("ids").groupBy("part").applyInArrow(merge, PART)
 
 
+#: Values of ``k`` in rows that are no vocabulary.
+ASK, ANSWER, SEATS, SUMS = -1, -2, -3, -4
+
+
+def ask(part: int, v: Vocabulary, tables: list[np.ndarray], ranges: int) -> list[tuple]:
+    """To each range of contexts: a range of words' contexts, their customers there and their tables in each chain."""
+    n = v.contexts.size
+    sums = np.array([np.bincount(v.context, x, n) for x in (v.count, *tables)]).astype(np.uint32)
+    to = range_of(v.contexts, ranges)
+    edge = [*_starts(to), n]
+    return [(int(to[i]), part, j - i, 0, ASK, pack_steps(v.contexts[i:j]), pack(sums[:, i:j]), *[None] * 3) for i, j in zip(edge, edge[1:])]
+
+
+def _starts(x: np.ndarray) -> list[int]:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() if x.size else []
+
+
+def answer(chains: int):
+    """To each range of words: customers and tables of its contexts in all ranges."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        _, place = np.unique(np.concatenate([unpack_steps(r["a"], np.uint64, r["n"]) for r in rows]), return_inverse=True)
+        sums = np.concatenate([unpack(r["b"], np.uint32, (1 + chains) * r["n"]).reshape(1 + chains, -1) for r in rows], axis=1)
+        total = np.array([np.bincount(place, x)[place] for x in sums]).astype(np.int64)
+        cut = np.cumsum([0, *(r["n"] for r in rows)])
+        return part_batch([(r["chunk"], r["part"], r["n"], 0, ANSWER, None, pack(total[:, a:b]), *[None] * 3) for r, a, b in zip(rows, cut, cut[1:])])
+
+    return run
+
+
+def seats_row(part: int, log0: np.ndarray, pairs: list[np.ndarray], tops: list[np.ndarray]) -> tuple:
+    """Tables of pairs and of words in each chain, and the words' letters."""
+    return part, None, log0.size, pairs[0].size, SEATS, pack(log0), pack(np.array(pairs, np.uint32)), pack(np.array(tops, np.uint32)), None, None
+
+
+def gathered(rows: list[dict], chains: int):
+    """(vocabulary, log0, tables of pairs, of words, customers of contexts, tables of contexts) of a range of words."""
+    v = Vocabulary.of(next(r for r in rows if r["k"] > 0))
+    seats = next(r for r in rows if r["k"] == SEATS)
+    got = sorted((r for r in rows if r["k"] == ANSWER), key=lambda r: r["chunk"])
+    total = np.concatenate([unpack(r["b"], np.int64, (1 + chains) * r["n"]).reshape(1 + chains, -1) for r in got], axis=1)
+    n, m = seats["n"], seats["m"]
+    t2 = unpack(seats["b"], np.uint32, chains * m).astype(np.int64).reshape(chains, m)
+    t1 = unpack(seats["c"], np.uint32, chains * n).astype(np.int64).reshape(chains, n)
+    return v, unpack(seats["a"], np.float64, n), t2, t1, total[0], total[1:]
+
+
 # --- letters --------------------------------------------------------------------------------------------------
 
 def letter_cells(data: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -242,16 +316,18 @@ def letter_cells(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ctx << 8 | seq
 
 
-def seat(c: np.ndarray, p0: np.ndarray, theta: np.ndarray, d: float, tables: np.ndarray, rng) -> np.ndarray:
+def seat(c: np.ndarray, p0: np.ndarray, theta: np.ndarray, d: float, tables: np.ndarray, rng, grow: bool = False) -> np.ndarray:
     """Tables of each dish after its ``c`` customers sit down one after another: a new table is opened with
-    odds (theta + d * tables) * p0 against customers so far - d * own tables. Late customers come in small groups."""
+    odds (theta + d * tables) * p0 against customers so far - d * own tables. From the 200th on, customers come in
+    groups of a hundredth of those before. ``grow``: ``tables`` are those of other dishes, own ones are added."""
     t = np.minimum(c, 1).astype(np.int64)
-    a = (theta + d * tables) * p0
+    a, more = (theta + d * tables) * p0, d * p0 if grow else np.zeros(c.size)
     alive, k = np.flatnonzero(c > 1), 1
     while alive.size:
-        step = max(1, k // 10)
+        step = max(1, k // 100)
         m = np.minimum(step, c[alive] - k)
-        prob = a[alive] / (a[alive] + np.maximum(k - d * t[alive], 1e-9))
+        new = a[alive] + more[alive] * t[alive]
+        prob = new / (new + np.maximum(k - d * t[alive], 1e-9))
         t[alive] += rng.binomial(m, np.clip(prob, 0, 1))
         k += step
         alive = alive[c[alive] > k]
@@ -343,40 +419,39 @@ class Totals:
     types: int  # V
     d_word: float
     d_pair: float
-    context: np.ndarray  # customers by context
-    pairs: np.ndarray  # distinct pairs by context
+    pairs: int  # distinct pairs
     model: LetterModel
 
 
 @dataclass
 class Sums:
-    """Of one seating: tables by context, customers and tables of words, letters' share of all known words."""
+    """Of the restaurant of words in one chain: customers, tables, letters' share of all known words."""
 
-    tables: np.ndarray
     customers: float
     word_tables: float
     known: float
 
 
-def sit(v: Vocabulary, log0: np.ndarray, n: Totals, sums: Sums, s: Settings, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tables of pairs, customers of words, tables of words) drawn given the sums of another seating."""
-    c = v.word_count
-    fall = (s.theta + n.d_word * sums.word_tables) / (s.theta + sums.customers)
-    parent = np.maximum(c - n.d_word, 0) / max(n.tokens, 1) + fall * np.exp(log0)
-    ctx = v.context
-    t2 = seat(v.count, parent[v.word], s.theta, n.d_pair, sums.tables[ctx], rng)
-    c1 = np.bincount(v.word, t2, v.size.size).astype(np.int64)
-    return t2, c1, seat(c1, np.exp(log0), s.theta, n.d_word, sums.word_tables, rng)
+def sit(v: Vocabulary, log0, t2, t1, all_t, n: Totals, sums: Sums, s: Settings, rng) -> tuple[np.ndarray, np.ndarray]:
+    """(tables of pairs, tables of words) of the next sweep. A pair's customers leave, and their tables leave the
+    restaurant of words; they sit down again given all others, then the words' customers do."""
+    word, p0 = v.word, np.exp(log0)
+    c1 = np.bincount(word, t2, v.size.size).astype(np.int64)
+    left = c1[word] - t2
+    fall = (s.theta + n.d_word * sums.word_tables) / (s.theta + sums.customers - t2)
+    parent = np.maximum(left - n.d_word * np.minimum(t1[word], left), 0) / (s.theta + sums.customers - t2) + fall * p0[word]
+    t2 = seat(v.count, parent, s.theta, n.d_pair, all_t[v.context] - t2, rng, grow=True)
+    c1 = np.bincount(word, t2, v.size.size).astype(np.int64)
+    return t2, seat(c1, p0, s.theta, n.d_word, sums.word_tables - t1, rng, grow=True)
 
 
-def predictive(v: Vocabulary, log0, seating, n: Totals, sums: Sums, s: Settings) -> np.ndarray:
+def predictive(v: Vocabulary, log0, t2, t1, all_c, all_t, n: Totals, sums: Sums, s: Settings) -> np.ndarray:
     """Probability of each pair's word in its context; words without customers share one outcome."""
-    t2, c1, t1 = seating
+    c1 = np.bincount(v.word, t2, v.size.size)
     fall = (s.theta + n.d_word * sums.word_tables) / (s.theta + sums.customers)
     word = np.maximum(c1 - n.d_word * t1, 0) / (s.theta + sums.customers) + fall * np.exp(log0)
     word = np.where(v.word_count > 0, word, fall * max(1 - sums.known, 1e-12))
-    ctx = v.context
-    all_c, all_t = n.context[ctx], sums.tables[ctx]
+    all_c, all_t = all_c[v.context], all_t[v.context]
     return np.maximum(v.count - n.d_pair * t2, 0) / (s.theta + all_c) + (s.theta + n.d_pair * all_t) / (s.theta + all_c) * word[v.word]
 
 
@@ -396,63 +471,80 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     vocabulary = merged.where("chunk is null")
 
     def tally(batches):
-        """Sums under negative keys (words, pairs, then contexts), letter cells of known words under the others."""
+        """Sums under negative keys (words, then pairs), letter cells of known words under the others."""
         for batch in batches:
             for row in batch.to_pylist():
                 v = Vocabulary.of(row)
-                count, ctx = v.word_count, v.context
+                count = v.word_count
                 known = count > 0
                 offset = np.cumsum(v.size) - v.size
                 cells, c = np.unique(letter_cells(take_letters(v.data, offset[known], v.size[known]), v.size[known]), return_counts=True) if known.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                sums = [count.sum(), known.sum(), (count == 1).sum(), (count == 2).sum(), (v.count == 1).sum(), (v.count == 2).sum(), *np.bincount(ctx, v.count, CONTEXTS), *np.bincount(ctx, v.count > 0, CONTEXTS)]
+                sums = [count.sum(), known.sum(), (count == 1).sum(), (count == 2).sum(), (v.count == 1).sum(), (v.count == 2).sum(), (v.count > 0).sum()]
                 keys = np.concatenate([-1 - np.arange(len(sums)), cells])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([sums, c]).astype(np.int64))], names=["cell", "n"])
 
     cells = vocabulary.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     key, value = cells.column("cell").to_numpy(), cells.column("n").to_numpy()
-    sums = np.zeros(6 + 2 * CONTEXTS)
+    sums = np.zeros(7)
     sums[-1 - key[key < 0]] = value[key < 0]
     order = np.argsort(key[key >= 0])
     letters = LetterModel(key[key >= 0][order], value[key >= 0][order].astype(np.int64), s)
-    n = Totals(int(sums[0]), int(sums[1]), discount(*sums[2:4]), discount(*sums[4:6]), sums[6 : 6 + CONTEXTS], sums[6 + CONTEXTS :], letters)
+    n = Totals(int(sums[0]), int(sums[1]), discount(*sums[2:4]), discount(*sums[4:6]), int(sums[6]), letters)
     shared = Shared(df.sparkSession, n)
-    state = [Sums(n.pairs, float(n.pairs.sum()), float(n.types), 0.0)] * s.samples
+    chains = s.samples
 
+    def first(batches):
+        """One table for each dish everywhere."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                v = Vocabulary.of(row)
+                t2 = np.minimum(v.count, 1)
+                t1 = np.minimum(np.bincount(v.word, t2, v.size.size), 1)
+                log0 = shared.value.model.word_log(v.data, v.size)
+                known = float(np.exp(log0)[v.word_count > 0].sum())
+                sums = np.array([[t2.sum(), t1.sum(), known]] * chains, float)
+                yield part_batch([seats_row(row["part"], log0, [t2] * chains, [t1] * chains), (row["part"], None, 0, 0, SUMS, pack(sums), *[None] * 4), *ask(row["part"], v, [t2] * chains, ranges)]).combine_chunks().to_batches()[0]
+
+    def totals(seats: DataFrame) -> list[Sums]:
+        got = sorted((r["part"], bytes(r["a"])) for r in seats.where(f"k = {SUMS}").select("part", "a").toLocalIterator())
+        return [Sums(*(float(x) for x in row)) for row in sum((unpack(a, np.float64, 3 * chains).reshape(chains, 3) for _, a in got), np.zeros((chains, 3)))]
+
+    def asked(seats: DataFrame) -> DataFrame:
+        """The seats of each range of words, and what its contexts have in all ranges."""
+        return seats.where(f"k = {SEATS}").unionByName(seats.where(f"k = {ASK}").groupBy("part").applyInArrow(answer(chains), PART))
+
+    pairs_only = vocabulary.withColumn("a", F.lit(None).cast("binary"))
+    seats = materialize(vocabulary.mapInArrow(first, PART), "lm-seats")
+    state = totals(seats)
     for turn in range(s.rounds):
-        def sweep(batches, state=state, turn=turn):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    v, rng = Vocabulary.of(row), np.random.default_rng([s.seed, turn, row["part"]])
-                    log0 = shared.value.model.word_log(v.data, v.size)
-                    out = []
-                    for k in range(s.samples):
-                        t2, c1, t1 = sit(v, log0, shared.value, state[k], s, rng)
-                        out += [*np.bincount(v.context, t2, CONTEXTS), c1.sum(), t1.sum(), np.exp(log0)[v.word_count > 0].sum()]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array(out, pa.float64())], names=["k", "x"])
-
-        got = np.zeros(s.samples * (CONTEXTS + 3))
-        for r in vocabulary.mapInArrow(sweep, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
-            got[r["k"]] = r["x"]
-        before, state = state, [Sums(g[:CONTEXTS], *(float(x) for x in g[CONTEXTS:])) for g in got.reshape(s.samples, -1)]
+        def sweep(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            part, rng = rows[0]["part"], np.random.default_rng([s.seed, turn, rows[0]["part"]])
+            v, log0, t2, t1, _, all_t = gathered(rows, chains)
+            new = [sit(v, log0, t2[k], t1[k], all_t[k], shared.value, state[k], s, rng) for k in range(chains)]
+            known = np.exp(log0)[v.word_count > 0].sum()
+            sums = np.array([[a.sum(), b.sum(), known] for a, b in new], float)
+            return part_batch([seats_row(part, log0, [a for a, _ in new], [b for _, b in new]), (part, None, 0, 0, SUMS, pack(sums), *[None] * 4), *ask(part, v, [a for a, _ in new], ranges)])
+
+        seats = materialize(pairs_only.unionByName(asked(seats)).groupBy("part").applyInArrow(sweep, PART), "lm-seats")
+        state = totals(seats)
 
     def back(table: pa.Table) -> pa.Table:
-        """The last seating once more, from the same seed, and what its probabilities mean for each chunk's pairs."""
+        """What the last seating means for each chunk's pairs."""
         rows, n = table.to_pylist(), shared.value
-        words_row = next(r for r in rows if r["chunk"] is None)
-        v, rng = Vocabulary.of(words_row), np.random.default_rng([s.seed, s.rounds - 1, words_row["part"]])
-        log0, p = n.model.word_log(v.data, v.size), np.zeros(v.code.size)
-        for k in range(s.samples):
-            p += predictive(v, log0, sit(v, log0, n, before[k], s, rng), n, state[k], s)
-        log = np.log10(np.maximum(p / s.samples, 1e-300)).astype(np.float32)
+        v, log0, t2, t1, all_c, all_t = gathered(rows, chains)
+        p = sum(predictive(v, log0, t2[k], t1[k], all_c, all_t[k], n, state[k], s) for k in range(chains))
+        log = np.log10(np.maximum(p / chains, 1e-300)).astype(np.float32)
         count = v.word_count[v.word].astype(np.uint32)
         out = []
         for r in rows:
-            if r["chunk"] is not None:
-                k = unpack(r["a"], np.uint32, r["m"])
-                out.append((r["part"], r["chunk"], 0, r["m"], pack(log[k]), pack(count[k]), None, None))
+            if r["chunk"] is not None and r["k"] == 0:
+                k = unpack_steps(r["a"], np.uint32, r["m"])
+                out.append((r["part"], r["chunk"], 0, r["m"], 0, pack(log[k]), pack(count[k]), *[None] * 3))
         return part_batch(out)
 
-    returned = merged.groupBy("part").applyInArrow(back, PART)
+    rest = merged.where("chunk is not null").unionByName(pairs_only).unionByName(asked(seats))
+    returned = rest.groupBy("part").applyInArrow(back, PART)
 
     def finish(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()

@@ -74,3 +74,13 @@ def test_seating():
         exact.append(own)
     assert abs(t[c == 50].mean() - np.mean(exact)) < 0.6
     assert (seat(c, np.full(c.size, 0.0), 1.0, 0.5, 10.0, rng) == np.minimum(c, 1)).all()
+
+
+def test_contexts_are_words_not_classes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.integers(0, 400, 100))) for i in range(120)]
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert got
+    # half the words follow from the one before; a class of six preceding words leaves six to choose from
+    limit = math.log10(1 / 400) + math.log10(0.5)
+    assert sum(r["score"] for r in got) / sum((r["n_tokens"] - 1) / 2 for r in got) > limit - 0.15
