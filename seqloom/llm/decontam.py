@@ -48,10 +48,38 @@ def _cuts(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if ids.size else np.zeros(0, np.int64)
 
 
+def segments(w, n: int, s: Settings) -> tuple[list, list]:
+    """(word hashes, item) of runs of words of ``n`` whole items, each given as a question and an answer."""
+    seg, seg_item = [], []
+    for i in range(n):
+        h = w.hash[w.first[2 * i] : w.first[2 * i + 2]]
+        for a in range(0, h.size, s.segment):
+            piece = h[a : a + s.segment]
+            if a and piece.size < s.segment // 2:  # a short rest joins the piece before, from its end
+                piece = h[max(0, h.size - s.segment) :]
+            seg.append(piece)
+            seg_item.append(i)
+    return seg, seg_item
+
+
+@dataclass
+class Statistics:
+    """Of the segments of all items: their number, mean length, and how many have each term (sorted hashes)."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    def of(self, vocab: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, vocab)]
+
+
 class Index:
-    """Inverted index of item segments with impacts scaled to each segment's own score."""
+    """Inverted index of item segments with impacts scaled to each segment's own score. ``stats``: of all items, where
+    this is one block of them."""
 
-    def __init__(self, ids: list, texts: list[str], s: Settings):
+    def __init__(self, ids: list, texts: list[str], s: Settings, stats: Statistics | None = None):
         self.s, self.ids = s, ids
         parts = [split_item(t or "") for t in texts]
         w = words(pa.array([p for pair in parts for p in pair], pa.string()), lower=True, sep=NON_ALNUM)
@@ -61,25 +89,18 @@ class Index:
             k = min(s.gram, h.size)
             self.grams.append(np.unique(ngrams(h, np.array([0, h.size]), k)[0]) if k else np.zeros(0, np.uint64))
         self.part_words = w.counts
-        # segments: runs of words of a whole item
-        seg, seg_item = [], []
-        for i in range(len(ids)):
-            h = w.hash[w.first[2 * i] : w.first[2 * i + 2]]
-            for a in range(0, h.size, s.segment):
-                piece = h[a : a + s.segment]
-                if a and piece.size < s.segment // 2:  # a short rest joins the piece before, from its end
-                    piece = h[max(0, h.size - s.segment) :]
-                seg.append(piece)
-                seg_item.append(i)
+        seg, seg_item = segments(w, len(ids), s)
         self.seg_item, n = np.array(seg_item, np.int64), len(seg)
         length = np.array([p.size for p in seg], float)
         flat, owner = (np.concatenate(seg), np.repeat(np.arange(n), length.astype(int))) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.vocab, term = np.unique(flat, return_inverse=True)
         key, tf = np.unique(term * max(n, 1) + owner, return_counts=True)
         self.post_term, self.post_seg = key // max(n, 1), key % max(n, 1)
-        df = np.bincount(self.post_term, minlength=self.vocab.size)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = s.k1 * (1 - s.b + s.b * length / max(length.mean() if n else 1, 1e-9))
+        if stats is None:
+            stats = Statistics(n, length.mean() if n else 1, self.vocab, np.bincount(self.post_term, minlength=self.vocab.size))
+        df = stats.of(self.vocab)
+        idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+        norm = s.k1 * (1 - s.b + s.b * length / max(stats.mean, 1e-9))
         weight = idf[self.post_term] * tf * (s.k1 + 1) / (tf + norm[self.post_seg])
         own = np.bincount(self.post_seg, weight, n)
         self.weight = (weight / own[self.post_seg]).astype(np.float32) if n else weight
@@ -137,16 +158,36 @@ class Index:
         return out
 
 
+def count_segments(rows: DataFrame, s: Settings) -> Statistics:
+    """Counted by Spark; the driver gets one row a distinct term of the items."""
+    def run(batches):
+        for b in slices(batches, "t"):
+            w = words(pa.array([p for t in b.column("t").to_pylist() for p in split_item(t or "")], pa.string()), lower=True, sep=NON_ALNUM)
+            seg, _ = segments(w, b.num_rows, s)
+            term, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(p) for p in seg)]), return_counts=True)
+            sums = [len(seg), sum(p.size for p in seg)]
+            kind, value = np.repeat([0, 1, 2], [term.size, 1, 1]), np.concatenate([df, sums])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.concatenate([term.view(np.int64), [0, 0]])), pa.array(value, pa.int64())], names=["kind", "term", "n"])
+
+    got = rows.select("t").mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).toArrow()
+    kind, term, n = (got.column(c).to_numpy() for c in ("kind", "term", "n"))
+    count, size = int(n[kind == 1].sum()), int(n[kind == 2].sum())
+    own = np.ascontiguousarray(term[kind == 0]).view(np.uint64)
+    order = np.argsort(own)
+    return Statistics(count, size / max(count, 1), own[order], n[kind == 0][order])
+
+
 def build_indexes(items: DataFrame, s: Settings, id_col: str, text_col: str) -> list[Index]:
-    """One index for each block of items, of a bounded number of items and characters each."""
+    """One index for each block of items, of a bounded number of items and characters each; scores are those of a
+    single index, as all blocks have the statistics of all items."""
     rows = items.select(items[id_col].alias("i"), F.coalesce(items[text_col].cast("string"), F.lit("")).alias("t"))
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-n // s.max_items), -(-chars // s.max_chars))
-    out = []
+    out, stats = [], count_segments(rows, s) if blocks > 1 else None
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else rows
         got = sorted(((r["i"], r["t"]) for r in own.collect()), key=str)
-        out.append(Index([r[0] for r in got], [r[1] for r in got], s))
+        out.append(Index([r[0] for r in got], [r[1] for r in got], s, stats))
     return out
 
 
@@ -155,7 +196,7 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
     All passages of whole texts are queries. Null and empty texts and items match nothing; ties all count; repeated
     texts and items match each for themselves; an empty table gives an empty table; other columns are ignored.
-    BM25 statistics are those of one block of items.
+    BM25 statistics are those of all items.
     """
     rows = df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t"))
     kinds = dict(df.dtypes)[id_col], dict(items.dtypes)[item_id_col]

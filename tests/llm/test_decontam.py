@@ -80,3 +80,11 @@ def test_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op4_decontamination(spark, sf_dir).collect()}
     assert got == {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
+
+
+def test_blocks_share_statistics(spark):
+    rng = np.random.default_rng(8)
+    items = spark.createDataFrame([(i, text(rng, int(n))) for i, n in enumerate(rng.integers(5, 130, 30))] + [(99, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(r["item_id"], " ".join((r["text"] or "").split()[: 8 + r["item_id"]])) for r in items.collect()], "doc_id long, text string")
+    one, many = (sorted((r["doc_id"], r["item_id"], round(r["score"], 5)) for r in find_leaks(docs, items, settings=s).collect()) for s in (S, Settings(max_items=10)))
+    assert one and one == many
