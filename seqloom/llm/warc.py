@@ -94,7 +94,7 @@ def _parse(data: bytes, at: int, end: int) -> tuple[Record, int] | str:
         return "length does not meet the record's end"
     block = data[body : body + int(size)]
     digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
+    if digest[:5].lower() == "sha1:" and digest[5:].upper() != base32_sha1(block) and digest[5:].lower() != hashlib.sha1(block).hexdigest():
         return "block digest differs"
     return Record(at, headers, block), body + int(size) + 4
 
@@ -103,7 +103,10 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of one archive, plain or with gzip members, in order.
 
     Where a check fails, the next byte position at which a whole valid record starts (a gzip member that inflates
-    to one, or a version line) is sought, and what lies between is one gap. Empty input has neither.
+    to one, or a version line) is sought, and what lies between is one gap. Within a member's inflated bytes the next
+    version line is sought alike; such a gap has the member's bounds and names the inflated bytes. A member that is
+    cut short or damaged gives its whole records but one at the very end, which nothing after it confirms; its
+    bytes are a gap all the same. Empty input has neither.
     """
     at, n, bad, reason = 0, len(data), None, ""
     view = memoryview(data)
@@ -118,8 +121,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if bad is not None:
             yield Gap(bad, at, reason)
             bad = None
-        records, at = found
+        records, stop, *fault = found
         yield from records
+        if fault:
+            bad, reason = at, f"{fault[0]}; records kept: {len(records)}"
+        at = stop
     if bad is not None:
         yield Gap(bad, n, reason)
 
@@ -129,25 +135,47 @@ def _plain_record(data: bytes, at: int):
     return got if isinstance(got, str) else ([got[0]], got[1])
 
 
-def _gzip_record(view: memoryview, at: int, step: int = 1 << 16):
+def _inflate(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """(inflated bytes, where the member stops, what is wrong with it); up to the fault if there is one."""
     z, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and pos < len(view):
+    while not z.eof and pos < len(view):
+        before = z.copy() if step > 1 else None
+        try:
             out.append(z.decompress(view[pos : pos + step]))
             pos += step
-    except zlib.error as e:
-        return f"gzip: {e}"
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, f"gzip: {e}"
+            z, step = before, step >> 8 or 1  # once more in smaller steps, to keep what comes before the fault
     if not z.eof:
-        return "member cut short"
-    stop = min(pos, len(view)) - len(z.unused_data)
-    data, p, records = b"".join(out), 0, []
+        return b"".join(out), len(view), "member cut short"
+    return b"".join(out), min(pos, len(view)) - len(z.unused_data), ""
+
+
+def _gzip_record(view: memoryview, at: int):
+    data, stop, fault = _inflate(view, at)
+    items, p, bad, reason = [], 0, None, ""
     while p < len(data):
         got = _parse(data, p, len(data))
         if isinstance(got, str):
-            return got
-        records.append(Record(at, got[0].headers, got[0].block))
+            if bad is None:
+                bad, reason = p, got
+            m = _VERSION.search(data, p + 1)
+            p = m.start() if m else len(data)
+            continue
+        if bad is not None:
+            items.append(Gap(at, stop, f"inflated bytes {bad} to {p}: {reason}"))
+            bad = None
+        if not fault or got[1] < len(data):
+            items.append(Record(at, got[0].headers, got[0].block))
         p = got[1]
-    return records, stop
+    if bad is not None:
+        items.append(Gap(at, stop, f"inflated bytes {bad} to {p}: {reason}"))
+    records = [x for x in items if isinstance(x, Record)]
+    if fault:
+        # what follows the member's start is sought for other members
+        return (records, at + 1, fault) if records else fault
+    return (items, stop) if records or not data else reason
 
 
 def plan_revisits(df: DataFrame, id_col: str, digest_col: str, size_col: str, least: int) -> DataFrame:

@@ -61,3 +61,36 @@ def test_read_by_spark(spark, tmp_path):
     rows = warc.read_warc(spark, str(tmp_path / "*.warc*")).collect()
     assert sorted((r["page_id"]) for r in rows if r["gap_end"] is None) == [0, 0, 1, 1]
     assert [(r["offset"], r["gap_end"]) for r in rows if r["gap_end"]] == [(len(parts[0]), len(parts[0]) + 5)]
+
+
+def test_records_of_a_damaged_member_survive():
+    import gzip
+
+    plain = archive(6, False)
+    pages = lambda data: [r.headers["warc-record-id"] for r in salvage(data) if isinstance(r, Record)]
+    ids = [f"<urn:page:{i}>" for i in range(6)]
+    broken = b"".join([*plain[:2], plain[2].replace(b"<p>2</p>", b"<p>9</p>", 1), *plain[3:]])
+    got = list(salvage(gzip.compress(broken)))
+    assert [type(r).__name__ for r in got] == ["Record", "Record", "Gap", "Record", "Record", "Record"]
+    assert pages(gzip.compress(broken)) == ids[:2] + ids[3:]
+    rng = random.Random(5)
+    plain = [record_bytes(i, "u", x, base32_sha1(x), compress=False) for i, x in enumerate(rng.randbytes(3000) for _ in range(6))]
+    member = gzip.compress(b"".join(plain))
+    tail = archive(1)[0]
+    for cut in (member[: len(member) * 3 // 4], member[: len(member) * 3 // 4] + tail):
+        got = pages(cut)
+        assert got[:4] == ids[:4] and got[4:] == ids[:1] * cut.endswith(tail)
+        assert any(isinstance(r, Gap) for r in salvage(cut))
+
+
+def test_digests_in_lower_case_or_hex():
+    import hashlib
+
+    plain = archive(1, False)[0]
+    block = next(iter(salvage(plain))).block
+    own = base32_sha1(block).encode()
+    head, body = plain.split(b"\r\n\r\n", 1)
+    for other in (own.lower(), hashlib.sha1(block).hexdigest().encode()):
+        i = head.lower().index(b"warc-block-digest")
+        changed = head[:i] + head[i:].replace(own, other, 1)
+        assert other in changed and isinstance(next(iter(salvage(changed + b"\r\n\r\n" + body))), Record)
