@@ -8,89 +8,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shared, tree_sum
-from .textkit import crc_rows, slices, words
-
-UNITS = 1 << 12  # buckets for whole words, and as many for word endings
-DIM = 64
+from .shared import Shared
+from .textkit import by_slice, crc_rows, mix, slices, trim, words
+
+#: Rows of the table of context vectors: a word's row is given by 20 bits of its hash, so the table is 32 MB whatever
+#: the corpus. Words that share a row add up, and the frequent one rules it.
+ROWS = 1 << 20
+DIM = 32
+FEATURES = 2 * DIM
 WINDOW = 2
-FEATURES = 2 * DIM + 3
-
-
-def index_vectors(seed: int, nonzero: int = 8) -> np.ndarray:
-    """Sparse ternary index vectors of all units of a kind."""
-    out = np.zeros((UNITS, DIM), np.int8)
-    at = np.random.default_rng(seed).random((UNITS, DIM)).argsort(1)[:, :nonzero]
-    np.put_along_axis(out, at, np.where(np.arange(nonzero) % 2, 1, -1).astype(np.int8)[None], 1)
-    return out
+#: The table is summed in this many pieces.
+PIECES = 64
 
 
-def word_units(w) -> np.ndarray:
-    return (w.hash >> np.uint64(52)).astype(np.uint16)
+def row_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
 
 
-def ending_units(w) -> np.ndarray:
-    """Hash of a word's last three bytes, letter case kept."""
-    pad = np.concatenate([np.zeros(3, np.uint8), w.data]).astype(np.uint32)
-    end, size = np.zeros(w.ends.size, np.uint32), w.ends - w.starts
-    for i in range(3):
-        end = end * np.uint32(257) + np.where(size > i, pad[w.ends + 2 - i], 0)
-    return ((end * np.uint32(2654435761)) >> np.uint32(20)).astype(np.uint16)
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """Sparse ternary index vectors of words, from all bits of their hashes: a quarter of the places is not zero."""
+    bits = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
+    one, two = bits(mix(hashes ^ np.uint64(1 << 61))), bits(mix(hashes ^ np.uint64(1 << 62)))
+    return (one[:, :DIM] & one[:, DIM:] & 1).astype(np.int8) * (1 - 2 * two[:, :DIM].astype(np.int8))
 
 
-def _add_contexts(w, index: np.ndarray, table: np.ndarray) -> None:
-    """Add to each word unit's row the index vectors of the words up to WINDOW away in the same text."""
-    n = w.starts.size
-    if not n:
-        return
-    unit, doc = word_units(w), w.doc
-    own = index[unit]
-    near = np.zeros_like(own)
-    for k in range(1, min(WINDOW, n - 1) + 1):
+def contexts(w) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in order, sums of index vectors of the words up to WINDOW away in the same text) of a slice's words."""
+    own, number = np.unique(w.hash, return_inverse=True)
+    vector, doc = index_vectors(own)[number], w.doc
+    near = np.zeros_like(vector)
+    for k in range(1, min(WINDOW, number.size - 1) + 1):
         other = doc[k:] != doc[:-k]
-        for to, part in ((near[k:], own[:-k].copy()), (near[:-k], own[k:].copy())):
+        for to, part in ((near[k:], vector[:-k].copy()), (near[:-k], vector[k:].copy())):
             part[other] = 0
             to += part
-    order = np.argsort(unit, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(unit[order].astype(np.int32)) > 0]))
-    table[unit[order[cut]]] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int32)
+    return _added(row_of(w.hash), near)
 
 
-def context_vectors(df: DataFrame, text_col: str) -> np.ndarray:
-    """Context vectors learnt from all texts of ``df``: one fixed-size table (1 MB) a task, summed in a tree."""
-    def run(batches):
-        index, table = index_vectors(1), np.zeros((UNITS, DIM), np.int64)
-        for b in slices(batches, "t"):
-            _add_contexts(words(b.column("t")), index, table)
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["v"])
+def _added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not rows.size:
+        return np.zeros(0, np.int64), np.zeros((0, DIM), np.int32)
+    order = np.argsort(rows, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
+    return rows[order[cut]], np.add.reduceat(values[order], cut, axis=0, dtype=np.int32)
+
 
-    total = tree_sum(df.select(df[text_col].cast("string").alias("t")).mapInArrow(run, "v binary"), np.int64, UNITS * DIM)
-    table = total.reshape(UNITS, DIM).astype(np.float32)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+def _pack(a: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(a.T).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def pooled(col, vectors: np.ndarray, block: int = 256) -> np.ndarray:
-    """A text's features (``vectors``: context vectors of word units, then index vectors of ending units): mean context vector of its words, mean index vector of their endings, share of words that
-    repeat the one before, log word count, and a flag for no words."""
+def _unpack(b: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(b, 4 * n * DIM, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).reshape(DIM, n).T
+
+
+def context_vectors(df: DataFrame, text_col: str, most: int = 120_000) -> np.ndarray:
+    """Context vectors of unit length (int8, 127 is one) learnt from all texts of ``df``. A task holds sums of about
+    ``most`` rows at a time; pieces of the table are summed by Spark; the driver gets the table."""
+    size = ROWS // PIECES
+
+    def emit(held):
+        rows, sums = _added(np.concatenate([r for r, _ in held]), np.concatenate([v for _, v in held]))
+        cut = np.searchsorted(rows, np.arange(PIECES + 1) * size)
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            a, e = cut[k], cut[k + 1]
+            cols = [pa.array([k]), pa.array([(rows[a:e] - k * size).astype(np.uint16).tobytes()], pa.binary()), pa.array([_pack(sums[a:e])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "rows", "sums"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in slices(batches, "t"):
+            held.append(contexts(words(b.column("t"))))
+            n += held[-1][0].size
+            if n > most:
+                held = [_added(np.concatenate([r for r, _ in held]), np.concatenate([v for _, v in held]))]
+                n = held[0][0].size
+                if n > most // 2:
+                    yield from emit(held)
+                    held, n = [], 0
+        if held:
+            yield from emit(held)
+        trim()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((size, DIM), np.int64)
+        for r, v in zip(table.column("rows"), table.column("sums")):
+            at = np.frombuffer(r.as_py(), np.uint16)
+            total[at] += _unpack(v.as_py(), at.size)
+        length = np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+        out = pa.table({"k": [table.column("k")[0].as_py()], "v": pa.array([np.rint(127 * total / length).astype(np.int8).tobytes()], pa.binary())})
+        del total, length
+        trim()
+        return out
+
+    sums = df.select(df[text_col].cast("string").alias("t")).mapInArrow(run, "k long, rows binary, sums binary")
+    out = np.zeros((PIECES, size, DIM), np.int8)
+    for r in sums.groupBy("k").applyInArrow(add, "k long, v binary").toLocalIterator():
+        out[r["k"]] = np.frombuffer(bytes(r["v"]), np.int8).reshape(size, DIM)
+    return out.reshape(ROWS, DIM)
+
+
+def pooled(col, vectors: np.ndarray) -> np.ndarray:
+    """A text's features: the mean context vector of its words, and the mean product, place by place, of neighbouring
+    words' vectors (which tells how alike they are); zeros without words."""
     w = words(col)
-    n, doc, size = w.counts.size, w.doc, np.maximum(w.counts, 1)
-    out = np.zeros((n, FEATURES), np.float32)
-    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1]))
-    out[:, -3] = np.bincount(doc[again], minlength=n) / size
-    out[:, -2] = np.log1p(w.counts)
-    out[:, -1] = w.counts == 0
-    for j, (unit, table) in enumerate(((word_units(w), vectors[:UNITS]), (ending_units(w), vectors[UNITS:]))):
-        for a in range(0, n, block):
-            e = min(a + block, n)
-            own = slice(w.first[a], w.first[e])
-            count = np.bincount((doc[own] - a) * UNITS + unit[own], minlength=(e - a) * UNITS).reshape(e - a, UNITS)
-            out[a:e, j * DIM : (j + 1) * DIM] = count.astype(np.float32) @ table / size[a:e, None]
+    out = np.zeros((w.counts.size, FEATURES), np.float32)
+    full = np.flatnonzero(w.counts)
+    if full.size:
+        own = vectors[row_of(w.hash)]
+        out[full, :DIM] = np.add.reduceat(own, w.first[full], axis=0, dtype=np.int64) / (127 * w.counts[full, None])
+        near = np.zeros(own.shape, np.int16)  # of each word with the one before it in its text
+        near[1:] = own[1:] * own[:-1].astype(np.int16)
+        near[w.first[full]] = 0
+        out[full, DIM:] = np.add.reduceat(near, w.first[full], axis=0, dtype=np.int64) / (127**2 * np.maximum(w.counts[full, None] - 1, 1))
     return out
 
 
 @dataclass
 class QualityModel:
-    vectors: np.ndarray
+    """The network. Word vectors travel apart from it."""
+
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -102,13 +139,13 @@ class QualityModel:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def score(self, col) -> np.ndarray:
+    def score(self, col, vectors: np.ndarray) -> np.ndarray:
         """Calibrated probability of label 1 for each text."""
-        z = self.logits(pooled(col, self.vectors)) / self.temperature
+        z = self.logits(pooled(col, vectors)) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -60, 60)))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 3) -> QualityModel:
+def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 3) -> QualityModel:
     """Train with Adam on 4/5 of the rows, choose the temperature on the rest (all rows if there are under 20)."""
     n, rng = len(y), np.random.default_rng(seed)
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if n else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -134,7 +171,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int =
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - 0.003 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    model = QualityModel(vectors, mean, scale, *p[:3], float(p[3][0]), 1.0)
+    model = QualityModel(mean, scale, *p[:3], float(p[3][0]), 1.0)
     if len(held):
         z = model.logits(x[held])
         grid = np.geomspace(0.25, 8, 61)
@@ -143,55 +180,67 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int =
     return model
 
 
-def train_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, held_out: int = 0, max_train: int = 20_000) -> QualityModel:
+class Quality:
+    """Word vectors (a broadcast of 32 MB, whatever the input) and the network that goes with them."""
+
+    def __init__(self, vectors, model: QualityModel):
+        self.vectors, self.model = vectors, model
+
+    def score(self, col) -> np.ndarray:
+        return self.model.score(col, self.vectors.value)
+
+    def release(self) -> None:
+        self.vectors.unpersist()
+
+
+def train_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, held_out: int = 0, max_train: int = 20_000) -> Quality:
     """Word vectors from all texts; network from ``max_train`` labelled rows at most, by hash of the id.
 
     Rows whose crc32 of the id as text is ``held_out`` modulo ``fold`` are never learnt from (``fold`` 0: all are
-    learnt from). Null labels and ids are passed over; of several labels of an id the smallest counts; with no or
-    one label class the score is the prior. The sample of ids and features is what the driver gets.
+    learnt from). Null labels and ids are passed over; of several labels of an id the smallest counts, of several
+    texts of an id one; null and empty texts have a vector of zeros; texts of any length are read whole; with no or
+    one label class the score is the prior; an empty table gives that, too. The driver gets the table of vectors, the
+    sample of ids and a row of features for each of them.
     """
-    vectors = np.vstack([context_vectors(df, text_col), index_vectors(2)])
+    vectors = df.sparkSession.sparkContext.broadcast(context_vectors(df, text_col))
     own = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
     if fold:
         own = own.where(F.crc32(F.col("i").cast("string")) % fold != held_out)
     sample = own.orderBy(F.xxhash64("i"), "i").limit(max_train)
-    shared = df.sparkSession.sparkContext.broadcast(vectors)  # 2 MB, whatever the input
     rows = df.select(df[id_col].alias("j"), df[text_col].cast("string").alias("t")).join(F.broadcast(sample), F.col("i") == F.col("j"))
 
     def run(batches):
         for b in slices(batches, "t"):
-            x = pooled(b.column("t"), shared.value)
+            x = pooled(b.column("t"), vectors.value)
             yield pa.RecordBatch.from_arrays([b.column("j"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["i", "y", "x"])
 
-    got = rows.select("j", "y", "t").mapInArrow(run, f"i {dict(df.dtypes)[id_col]}, y int, x binary").toArrow().to_pylist()
+    got = rows.select("j", "y", "t").mapInArrow(run, f"i {dict(df.dtypes)[id_col]}, y int, x binary")
+    got = got.groupBy("i", "y").agg(F.min("x").alias("x")).toArrow().to_pylist()
     got.sort(key=lambda r: (r["i"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), FEATURES)
-    return fit_network(x, np.array([r["y"] == 1 for r in got], np.float32), vectors)
+    return Quality(vectors, fit_network(x, np.array([r["y"] == 1 for r in got], np.float32)))
 
 
-def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, fold: int = 5, held_out: int = 0) -> DataFrame:
+def score_quality(df: DataFrame, quality: Quality, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, fold: int = 5, held_out: int = 0) -> DataFrame:
     """One row per row of ``df``: id, held_out, score, predicted.
 
     Null and empty texts get the score of no words; repeated rows score alike; an empty table gives an empty table;
     labels and other columns never enter the score.
     """
-    shared = Shared(df.sparkSession, model)
-
     def run(batches):
         for b in slices(batches, "t"):
-            s = shared.value.score(b.column("t"))
+            s = quality.score(b.column("t"))
             out = crc_rows(b.column("i")) % fold == held_out if fold else np.zeros(len(s), bool)
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(out), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     return df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t")).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, held_out boolean, score double, predicted int")
 
 
-def keep_quality(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``df`` that the model does not reject, with all their columns, in one narrow pass."""
-    shared = Shared(df.sparkSession, model)
+def keep_quality(df: DataFrame, quality: Quality, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` that the model does not reject, with all their columns, in one narrow pass.
 
-    def run(batches):
-        for b in slices(batches, text_col):
-            yield b.filter(pa.array(shared.value.score(b.column(text_col)) >= threshold))
-
-    return df.mapInArrow(run, df.schema)
+    Only texts go to Python. Null and empty texts are judged as texts without words; repeated rows alike; an empty
+    table stays empty; columns of any name pass through.
+    """
+    keep = F.arrow_udf(by_slice(lambda t: pa.array(quality.score(t) >= threshold), pa.bool_()), "boolean")
+    return df.where(keep(df[text_col].cast("string")))

@@ -2,10 +2,13 @@
 
 Exact, in two products. Shingles have one global order (hash; those frequent in a sample of documents last), and two
 sets that are similar enough share a shingle among the first ``n - ceil(t n) + 1`` of each. Documents with equal sets
-are one class. (1) In each shingle's list every class meets the list's smallest id; the best such partner of each
-class is checked, which links large groups of near copies at once. (2) Only where a list still holds several linked
-groups do members of different groups meet: overlap counts are accumulated by block of shingles, pairs below the
-bound that their sizes and counts set are discarded, and the rest are checked with whole sets.
+are one class. (1) The product with each list's smallest id: the likeliest such partner of each class is checked,
+which links large groups of near copies at once. (2) Only where a list still holds several linked groups do members of
+different groups meet, in blocks of two chunks of a list: a pair is counted where what stands behind the shingle in
+both orders can still make it a link. Counts are accumulated over all blocks, pairs whose count and rest stay below the
+bound that their sizes set are discarded, and what is left is checked with whole sets.
+
+Shingles are known by 64-bit hashes, as are sets by 128-bit sums of them.
 """
 from __future__ import annotations
 
@@ -17,21 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, tree_or
-from .textkit import mix, ngrams, slices, words
+from .shared import BitFilter, Shared, discard, fresh_name, materialize, xxhash64_long
+from .textkit import mix, ngrams, slices, trim, words
 
 
 @dataclass(frozen=True)
 class Join:
     """Links where 100 * intersection >= ``percent`` * union. One document in ``sample_every`` is looked through for
-    frequent shingles, which only sets the order (speed, never the result); ``block_rows`` the list entries of one block of the product, ``long_list`` where a list counts as long."""
+    frequent shingles, which only sets the order (speed, never the result). A list is cut into chunks of about
+    ``chunk`` members, and a set's partners into blocks of about ``partners``; no task holds more than two chunks."""
 
     words: int = 5
     percent: int = 75
     sample_every: int = 16
     sample_least: int = 3
-    long_list: int = 32
-    block_rows: int = 500_000
+    chunk: int = 1024
+    partners: int = 256
 
 
 def shingle_sets(col, k: int) -> list[np.ndarray]:
@@ -59,28 +63,14 @@ def need(n: int, m: int, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _bits_of(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Three bit numbers of each (well mixed) hash in a filter of ``size``, a power of two."""
-    h, low = hashes, np.uint64(size - 1)
-    return np.stack([h & low, (h >> np.uint64(19)) & low, (h >> np.uint64(38)) & low])
-
-
-def _bloom(hashes: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter over the only (long) column: 16 an entry, 8 MB at most, so that it can go everywhere."""
-    size = min(max(1 << 16, 1 << int(16 * max(hashes.count(), 1) - 1).bit_length()), 1 << 26)
+def _filter_of(hashes: DataFrame, n: int) -> Shared:
+    return Shared(hashes.sparkSession, BitFilter.of(hashes, n))
 
-    def run(batches):
-        bits = np.zeros(size, bool)
-        for b in batches:
-            bits[_bits_of(b.column(0).to_numpy().view(np.uint64), size)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["v"])
 
-    return np.unpackbits(tree_or(hashes.coalesce(16).mapInArrow(run, "v binary"), size // 8)).astype(bool)
-
-
-def _frequent(df: DataFrame, j: Join) -> np.ndarray:
-    """Filter of the shingles that at least ``sample_least`` documents of the sample hold. A shingle that it holds
-    by chance is ordered like a frequent one everywhere, so the order stays one order."""
+def _frequent(df: DataFrame, j: Join) -> Shared:
+    """Filter of the shingles that at least ``sample_least`` documents of the sample hold, or twice as many, and so on,
+    until the filter has room. A shingle that it holds by chance is ordered like a frequent one everywhere, so the
+    order stays one order."""
     rows = df.where(F.pmod(F.xxhash64("i"), F.lit(j.sample_every)) == 0).select("t")
 
     def run(batches):
@@ -88,27 +78,23 @@ def _frequent(df: DataFrame, j: Join) -> np.ndarray:
             sets = shingle_sets(b.column("t"), j.words)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    hot = rows.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= j.sample_least).select("h")
-    return _bloom(materialize(hot, "join-frequent"))
-
-
-def _member(sorted_array: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not sorted_array.size:
-        return np.zeros(x.size, bool)
-    at = np.minimum(np.searchsorted(sorted_array, x), sorted_array.size - 1)
-    return sorted_array[at] == x
+    least = j.sample_least
+    hot = materialize(rows.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least), "join-frequent")
+    while (n := hot.where(F.col("count") >= least).count()) > BitFilter.ENTRIES:
+        least *= 2
+    out = _filter_of(hot.where(F.col("count") >= least).select("h"), n)
+    discard(hot)
+    return out
 
 
-def _signatures(df: DataFrame, frequent: np.ndarray, j: Join) -> DataFrame:
+def _signatures(df: DataFrame, frequent: Shared, j: Join) -> DataFrame:
     """``i, n, s1, s2, prefix``: size, 128-bit sum of the set, and its first shingles in the global order."""
-    shared = df.sparkSession.sparkContext.broadcast(frequent)
-
     def run(batches):
         for b in slices(batches, "t"):
             sets = shingle_sets(b.column("t"), j.words)
             n = np.array([s.size for s in sets], np.int64)
             flat = np.concatenate(sets)
-            hot = shared.value[_bits_of(flat, shared.value.size)].all(0)
+            hot = frequent.value.has(flat)
             cut = np.concatenate([[0], np.cumsum(n)])
             sums = [np.array([m[a:e].sum() for a, e in zip(cut, cut[1:])], np.uint64).view(np.int64) for m in (mix(flat), mix(flat ^ np.uint64(0x5851F42D4C957F2D)))]
             prefix = []
@@ -123,114 +109,191 @@ def _signatures(df: DataFrame, frequent: np.ndarray, j: Join) -> DataFrame:
     return df.mapInArrow(run, "i long, n long, s1 long, s2 long, prefix array<long>")
 
 
-def _whole_sets(df: DataFrame, ids: DataFrame, j: Join) -> DataFrame:
-    """``i, s`` (6 bytes a shingle) for the texts whose id is among ``ids`` (and a few more)."""
-    def mixed(ids: np.ndarray) -> np.ndarray:
-        return mix(ids.view(np.uint64))
-
-    def hashed(batches):
+def _entries(classes: DataFrame, shared: Shared) -> DataFrame:
+    """``h, rep, n, pos`` of the listed shingles that the filter lets through."""
+    def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(b.column(0).to_numpy()).view(np.int64))], names=["h"])
+            rep, n, lists = b.column("rep"), b.column("n").to_numpy(), b.column("prefix")
+            off = lists.offsets.to_numpy()
+            h = lists.values.to_numpy()[off[0] : off[-1]]
+            row = np.repeat(np.arange(n.size), np.diff(off))
+            pos = np.arange(h.size) - (off[:-1] - off[0])[row]
+            keep = np.flatnonzero(shared.value.has(h.view(np.uint64)))
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), rep.take(pa.array(row)), pa.array(n[row]), pa.array(pos[keep], pa.int64())], names=["h", "rep", "n", "pos"])
+        trim()
 
-    shared = df.sparkSession.sparkContext.broadcast(_bloom(ids.mapInArrow(hashed, "h long")))
+    return classes.select("rep", "n", "prefix").mapInArrow(run, "h long, rep long, n long, pos long")
 
+
+def _whole_sets(df: DataFrame, ids: Shared, j: Join) -> DataFrame:
+    """``i, s`` (8 bytes a shingle) for the texts whose id the filter lets through."""
     def run(batches):
         for whole in batches:
-            ids = whole.column("i").fill_null(0).to_numpy()
-            keep = shared.value[_bits_of(mixed(ids), shared.value.size)].all(0) & whole.column("i").is_valid().to_numpy(zero_copy_only=False)
+            i = whole.column("i")
+            keep = ids.value.has(xxhash64_long(i.fill_null(0).to_numpy())) & i.is_valid().to_numpy(zero_copy_only=False)
             for b in slices([whole.filter(pa.array(keep))], "t"):
-                sets = [(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(b.column("t"), j.words)]
+                sets = [s.tobytes() for s in shingle_sets(b.column("t"), j.words)]
                 yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(sets, pa.binary())], names=["i", "s"])
 
     return df.mapInArrow(run, "i long, s binary")
 
 
-def _unpack_set(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
-
-
-def _check(df: DataFrame, pairs: DataFrame, j: Join, width: int = 256) -> DataFrame:
-    """The pairs ``a, b`` that are links: whole sets of up to ``width`` partners against one, a block at a time."""
-    sets = materialize(_whole_sets(df, pairs.select("a").union(pairs.select("b")).distinct(), j), "join-sets")
-    many = pairs.groupBy("b").agg(F.count("*").alias("k"))
-    blocks = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / width)).alias("block"))
-    heads = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("k") / width) - 1)).alias("block"))
-    left = blocks.join(sets, F.col("a") == F.col("i")).select("b", "block", "a", "s")
-    right = heads.join(sets, F.col("b") == F.col("i")).select("b", "block", F.lit(None).cast("long").alias("a"), "s")
-
-    def product(key, table):
-        a, s = table.column("a").to_pylist(), [_unpack_set(x) for x in table.column("s").to_pylist()]
-        head = np.unique(np.concatenate([x for k, x in zip(a, s) if k is None])) if None in a else np.zeros(0, np.uint64)
-        own = [(k, x) for k, x in zip(a, s) if k is not None]
-        n = np.array([x.size for _, x in own], np.int64)
-        hits = np.concatenate([[0], np.cumsum(_member(head, np.concatenate([x for _, x in own])))]) if own else np.zeros(1, np.int64)
-        cut = np.concatenate([[0], np.cumsum(n)])
-        both = hits[cut[1:]] - hits[cut[:-1]]
-        good = np.flatnonzero(100 * both >= j.percent * (n + head.size - both))
-        return pa.table({"a": pa.array([own[g][0] for g in good], pa.int64()), "b": pa.array([key[0].as_py()] * good.size, pa.int64())})
-
-    return left.unionByName(right).groupBy("b", "block").applyInArrow(product, "a long, b long")
+def _member(sorted_array: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not sorted_array.size:
+        return np.zeros(x.size, bool)
+    at = np.minimum(np.searchsorted(sorted_array, x), sorted_array.size - 1)
+    return sorted_array[at] == x
 
 
-def _cross_pairs(lists: DataFrame, blocks: int, j: Join) -> DataFrame:
-    """``a, b, la, lb, na, nb, ka, kb, c, pa, pb``: members of different groups that share ``c`` listed shingles, the last
-    at places ``pa`` and ``pb`` of their orders, and can link.
+def _sets_of(col) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all sets end to end, offsets) of a binary column."""
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = col.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(flat.tobytes(), np.uint64), (off - off[0]) // 8
+
+
+def _check(df: DataFrame, pairs: DataFrame, j: Join) -> DataFrame:
+    """The pairs ``a, b`` that are links, by whole sets: a block is ``b``'s set, then those of some of its partners,
+    one after another, so that a task holds one set and a batch."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct().select(F.xxhash64("i").alias("h"))
+    wanted = _filter_of(ids, ids.count())
+    sets = materialize(_whole_sets(df, wanted, j), "join-sets")
+    wanted.release()
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / j.partners).alias("blocks"))
+    blocks = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+    heads = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    left = blocks.join(sets, F.col("a") == F.col("i")).select("b", "block", F.lit(1).alias("side"), "a", "s")
+    right = heads.join(sets, F.col("b") == F.col("i")).select("b", "block", F.lit(0).alias("side"), F.lit(None).cast("long").alias("a"), "s")
+    key = ["b", "block"]
 
-    In a list of more than ``long_list`` members only those pairs meet that long lists alone can link: if both hold
-    fewer shingles of long lists (``ka``, ``kb``) than they need in common, a shorter list has them too, and ``c``
-    lacks those of the long ones.
+    def run(batches):
+        now, own = None, []  # the block, its first sets (equal ids have several)
+        for t in batches:
+            flat, off = _sets_of(t.column("s"))
+            b, block, side = (t.column(c).to_numpy() for c in ("b", "block", "side"))
+            cuts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1]), [True]]))
+            good = []
+            for s, e in zip(cuts.tolist(), cuts[1:].tolist()):
+                if (b[s], block[s]) != now:
+                    now, own = (b[s], block[s]), []
+                if side[s] == 0:
+                    own += [flat[off[k] : off[k + 1]].copy() for k in range(s, e)]
+                    continue
+                n, part, link = np.diff(off[s : e + 1]), flat[off[s] : off[e]], np.zeros(e - s, bool)
+                for x in own:
+                    hits = np.concatenate([[0], np.cumsum(_member(x, part))])
+                    both = hits[off[s + 1 : e + 1] - off[s]] - hits[off[s:e] - off[s]]
+                    link |= 100 * both >= j.percent * (n + x.size - both)
+                good.append(s + np.flatnonzero(link))
+            found = pa.array(np.concatenate([np.zeros(0, np.int64), *good]))
+            yield pa.RecordBatch.from_arrays([t.column("a").take(found), t.column("b").take(found)], names=["a", "b"])
+        trim()
+
+    rows = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side")
+    links = materialize(rows.mapInArrow(run, "a long, b long").distinct(), "join-links")
+    discard(sets)
+    return links
+
+
+_MEMBER = ("rep", "n", "pos", "label")
+_PAIR = ("a", "b", "la", "lb", "na", "nb", "c", "pa", "pb")
+
+
+def _met(m: dict, x: np.ndarray, y: np.ndarray, percent: int) -> tuple:
+    """Of pairs of members of a list (numbers ``x``, ``y``) those of different groups that this shingle and what
+    stands behind it in both orders can make a link: columns of ``_PAIR``."""
+    n, rest, label = m["n"], m["n"] - m["pos"], m["label"]
+    ok = (label[x] != label[y]) & (np.minimum(rest[x], rest[y]) >= need(n[x], n[y], percent))
+    x, y = x[ok], y[ok]
+    swap = m["rep"][x] > m["rep"][y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    return m["rep"][x], m["rep"][y], label[x], label[y], n[x], n[y], np.ones(x.size, np.int64), m["pos"][x], m["pos"][y]
+
+
+def _list_pairs(m: dict, first: np.ndarray, percent: int, small: int = 32, block: int = 1 << 18):
+    """Column tuples of all pairs within the lists that start at ``first`` (the last entry is the end); in a block of
+    two chunks only their pairs across."""
+    size = np.diff(first)
+    few = np.repeat(size <= small, size)
+    home = np.repeat(np.arange(size.size), size)
+    across = m["ci"] != m["cj"]
+    for d in range(1, min(small, int(size.max(initial=0)))):
+        x = np.flatnonzero(few[:-d] & (home[:-d] == home[d:])) if d < few.size else np.zeros(0, np.int64)
+        x = x[~across[x] | (m["chunk"][x] != m["chunk"][x + d])]
+        yield _met(m, x, x + d, percent)
+    for s, e in zip(first[:-1][size > small].tolist(), first[1:][size > small].tolist()):
+        left, right = np.arange(s, e), np.arange(s, e)
+        if across[s]:
+            left, right = left[m["chunk"][s:e] == m["ci"][s]], right[m["chunk"][s:e] == m["cj"][s]]
+        step = max(1, block // max(right.size, 1))
+        for a in range(0, left.size, step):
+            x, y = np.repeat(left[a : a + step], right.size), np.tile(right, left[a : a + step].size)
+            if not across[s]:
+                x, y = x[x < y], y[x < y]
+            yield _met(m, x, y, percent)
+
+
+def _summed(parts: list[tuple]) -> tuple:
+    """One row for each pair: counts added, last places."""
+    cols = [np.concatenate(x) for x in zip(*parts)]
+    if not cols[0].size:
+        return tuple(cols)
+    key = (0, 1, 4, 5)
+    order = np.lexsort([cols[k] for k in key])
+    cols = [c[order] for c in cols]
+    at = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([cols[k][1:] != cols[k][:-1] for k in key])]))
+    return (*(c[at] for c in cols[:6]), np.add.reduceat(cols[6], at), np.maximum.reduceat(cols[7], at), np.maximum.reduceat(cols[8], at))
+
+
+def _cross_pairs(own: DataFrame, j: Join) -> DataFrame:
+    """``_PAIR`` of members of different groups in ``own(h, rep, n, pos, label)`` that share ``c`` shingles up to places
+    ``pa`` and ``pb`` of their orders, and can link.
+
+    Rows come sorted by block; a task holds one block (two chunks of a list at most) and a batch.
     """
-    names = ("a", "b", "la", "lb", "na", "nb", "ka", "kb")
-
-    def run(table: pa.Table) -> pa.Table:
-        h, rep, n, pos, group, long = (table.column(c).to_numpy() for c in ("h", "rep", "n", "pos", "label", "n_long"))
-        order = np.lexsort((n, h))
-        h, rep, n, pos, group, long = (x[order] for x in (h, rep, n, pos, group, long))
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        _, rows, member = np.unique(rep, return_index=True, return_inverse=True)
-        held, size = [], 0
-
-        def settle(parts):
-            """One (key, count, places) for each pair."""
-            key, c, p, q = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(key, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-            return key[order][start], np.add.reduceat(c[order], start), np.maximum.reduceat(p[order], start), np.maximum.reduceat(q[order], start)
-
-        for s, e in zip(cut, cut[1:]):
-            if (group[s:e] == group[s]).all():
+    lists = own.groupBy(F.col("h").alias("h2")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / j.chunk).alias("chunks")).where("lo <> hi")
+    rows = own.join(lists.select("h2", "chunks"), F.col("h") == F.col("h2")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("h", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "chunk", *_MEMBER)
+    key = ["h", "ci", "cj"]
+    names = [*key, "chunk", *_MEMBER]
+
+    def run(batches):
+        def batch(parts):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _summed(parts)], names=list(_PAIR))
+
+        def pairs(m, first):
+            held, size = [], 0
+            for part in _list_pairs(m, first, j.percent):
+                held.append(part)
+                size += part[0].size
+                if size > 200_000:
+                    yield batch(held)
+                    held, size = [], 0
+            if size:
+                yield batch(held)
+
+        rest = None
+        for b in batches:
+            m = {c: b.column(c).to_numpy() for c in names}
+            if rest is not None:
+                m = {c: np.concatenate([rest[c], m[c]]) for c in names}
+            if not m["h"].size:
                 continue
-            hot = e - s > j.long_list
-            for x in range(s, e - 1):
-                stop = s + np.searchsorted(n[s:e], n[x] * 100 // j.percent, "right")
-                y = np.arange(x + 1, stop)
-                most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
-                y = y[(group[y] != group[x]) & (most >= need(n[x], n[y], j.percent))]
-                if hot and y.size:
-                    y = y[np.minimum(long[y], long[x]) >= least_shared(n[x], n[y], j.percent)]
-                if y.size:
-                    u, v = np.full(y.size, member[x]), member[y]
-                    low, p, q = u < v, np.full(y.size, pos[x]), pos[y]
-                    held.append((np.minimum(u, v) << 32 | np.maximum(u, v), np.ones(y.size, np.int64), np.where(low, p, q), np.where(low, q, p)))
-                    size += y.size
-            if size > 500_000:
-                held, size = [settle(held)], 0
-        key, c, p, q = settle(held) if held else [np.zeros(0, np.int64)] * 4
-        a, b = rows[key >> 32], rows[key & (1 << 32) - 1]
-        return pa.table(dict(zip((*names, "c", "pa", "pb"), (rep[a], rep[b], group[a], group[b], n[a], n[b], long[a], long[b], c, p, q))))
-
-    parted = lists.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    found = parted.groupBy("block").applyInArrow(run, ", ".join(f"{k} long" for k in (*names, "c", "pa", "pb")))
-    return found.groupBy(*names).agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-
-
-def least_shared(n, m, percent: int):
-    """How many shingles two sets that link share within their prefixes, at least: what they need in common, less
-    what can stand behind the prefix that ends first."""
-    rest = lambda k: k - prefix_length(k, percent)
-    return need(n, m, percent) - np.maximum(rest(n), rest(m))
+            new = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([m[c][1:] != m[c][:-1] for c in key])]))
+            yield from pairs(m, new)
+            rest = {c: m[c][new[-1] :] for c in names}
+        if rest is not None:
+            yield from pairs(rest, np.array([0, rest["h"].size]))
+        trim()
+
+    found = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ", ".join(f"{k} long" for k in _PAIR))
+    found = found.groupBy(*_PAIR[:6]).agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # all that two sets share: what was counted, and at most what stands behind the last one counted
+    most = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    return found.where(most >= F.ceil(F.lit(j.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + j.percent)))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -242,14 +305,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     j, percent = join, join.percent
     rows = df.select(df[id_col].cast("long").alias("i"), df[text_col].cast("string").alias("t"))
-    signed = materialize(_signatures(rows, _frequent(rows, j), j), "join-signatures")
+    frequent = _frequent(rows, j)
+    signed = materialize(_signatures(rows, frequent, j), "join-signatures")
+    frequent.release()
     classes = signed.where("n > 0 and i is not null").groupBy("n", "s1", "s2").agg(F.min("i").alias("rep"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "join-classes")
 
-    w = "partition by h"
-    lists = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "rep", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
-    lists = lists.select("h", "rep", "at", F.expr(f"min(struct(rep, at)) over ({w})").alias("head"), F.expr(f"max(rep) over ({w})").alias("last"), F.expr(f"count(*) over ({w})").alias("k"))
-    lists = materialize(lists.where("head.rep <> last").select("h", "rep", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"), (F.col("k") > j.long_list).alias("long"), F.col("head.rep").alias("head"), F.shiftright("head.at", 32).alias("head_n")), "join-lists")
+    # lists of two classes or more, each with its smallest id; partial sums meet a frequent shingle in every task first
+    heads = classes.select("rep", "n", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("rep").alias("head"), F.min_by("n", "rep").alias("head_n"), F.max("rep").alias("last"))
+    heads = materialize(heads.where("head <> last").select(F.col("h").alias("h2"), "head", "head_n"), "join-heads")
+    shared = _filter_of(heads.select("h2"), heads.count())
+    lists = materialize(_entries(classes, shared).join(heads, F.col("h") == F.col("h2")).select("h", "rep", "n", "pos", "head", "head_n"), "join-lists")
+    shared.release()
+    discard(heads)
 
     # the first product: each class with the head that it shares most lists with, if they promise a link; a link that
     # is passed over here is found below
@@ -257,30 +325,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fits = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
     likely = F.col("c") >= F.lit(percent) * (F.col("n") + F.col("head_n")) / F.lit(100 + percent) - F.lit(percent / 100) * F.least("n", "head_n")
     star = star.where(fits & likely).groupBy("rep").agg(F.max_by("head", F.struct("c", "head")).alias("b"))
-    first = materialize(_check(rows, materialize(star.select(F.col("rep").alias("a"), "b"), "join-pairs"), j), "join-links")
-
-    held = lists.groupBy(F.col("rep").alias("id")).agg(F.count_if("long").alias("n_long"))
-    held = held.join(components(first), F.col("id") == F.col("node"), "left").select("id", "n_long", F.coalesce("label", "id").alias("label"))
-    own = lists.select("h", "rep", "n", "pos").join(held, F.col("rep") == F.col("id")).select("h", "rep", "n", "pos", "label", "n_long")
-    pairs = _cross_pairs(own, max(1, -(-lists.count() // j.block_rows)), j)
-    long, shared = F.least("ka", "kb"), _least_shared("na", "nb", percent)
-    unseen = F.when(long < shared, long).otherwise(0)
-    # all that two sets share: what was seen, the long lists' part, and at most what stands behind the last one seen
-    most = F.col("c") + unseen + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    needed = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    pairs = materialize(pairs.where((F.col("c") >= shared - unseen) & (most >= needed)), "join-pairs")
+    star = materialize(star.select(F.col("rep").alias("a"), "b"), "join-pairs")
+    first = _check(rows, star, j)
+
+    own = lists.select("h", *_MEMBER[:3]).join(components(first), F.col("rep") == F.col("node"), "left").select("h", *_MEMBER[:3], F.coalesce("label", "rep").alias("label"))
+    own = materialize(own, "join-members")
+    discard(star, lists)
+    pairs = materialize(_cross_pairs(own, j), "join-pairs")
+    discard(own)
     # of each two groups the likeliest pair first; the others only if that leaves them apart
     best = pairs.groupBy(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))
-    second = materialize(_check(rows, materialize(best.select("p.a", "p.b"), "join-best"), j), "join-links")
-    links = first.unionByName(second)
+    best = materialize(best.select("p.a", "p.b"), "join-best")
+    second = _check(rows, best, j)
     merged = materialize(_merge_groups(pairs, second), "join-rest")
-    links = links.unionByName(_check(rows, merged, j))
+    links = first.unionByName(second).unionByName(_check(rows, merged, j))
+    discard(pairs, best, merged)
 
     labels = components(links)
     keys = ["n", "s1", "s2"]
     named = classes.select(*keys, "rep").join(labels, F.col("rep") == F.col("node"), "left").select(*(F.col(k).alias("c_" + k) for k in keys), F.coalesce("label", "rep").alias("component_id"))
     out = signed.select("i", *keys).join(named, [F.col(k) == F.col("c_" + k) for k in keys], "left")
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("i")).alias("component_id"))
+    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("i").isNotNull(), F.coalesce("component_id", "i")).alias("component_id"))
 
 
 def _merge_groups(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,18 +357,12 @@ def _merge_groups(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return named.where(F.coalesce("ga", "la") != F.coalesce("gb", "lb")).select("a", "b")
 
 
-def _least_shared(n: str, m: str, percent: int):
-    """``least_shared`` of two columns, 1 at least."""
-    n, m = F.col(n), F.col(m)
-    rest = lambda k: F.ceil(k * F.lit(percent) / F.lit(100)) - 1
-    return F.greatest(F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent)) - F.greatest(rest(n), rest(m)), F.lit(1))
-
-
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """The rows of ``df`` that are the smallest id of their component, with all their columns; null ids stay.
 
-    Of rows that share the smallest id all stay.
+    Of rows that share the smallest id all stay. Nulls, ties, empty tables and long texts are as in
+    ``jaccard_components``; columns of any name pass through.
     """
-    found = jaccard_components(df, id_col, text_col, join)
-    drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("join_drop")).distinct()
-    return df.join(drop, F.col(id_col).cast("long") == F.col("join_drop"), "left_anti")
+    found, name = jaccard_components(df, id_col, text_col, join), fresh_name(df, "join_drop")
+    drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return df.join(drop, df[id_col].cast("long") == drop[name], "left_anti")

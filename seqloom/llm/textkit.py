@@ -5,13 +5,14 @@ text counts as empty. Memory is a small multiple of ``MAX_BYTES`` or of the long
 """
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_BYTES = 2 << 20
+MAX_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 SPACE = np.zeros(256, bool)
@@ -50,6 +51,15 @@ def strings(col) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that is reused or waits then holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, column: str, max_bytes: int = MAX_BYTES):
     """Cut record batches so that each holds about ``max_bytes`` of text at most (one text at least)."""
     for batch in batches:
@@ -62,6 +72,16 @@ def slices(batches, column: str, max_bytes: int = MAX_BYTES):
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        trim()
+
+
+def by_slice(work, kind: pa.DataType):
+    """``work`` (a string array to an array of ``kind``) as the body of an Arrow UDF, on slices of bounded size."""
+    def run(col: pa.Array) -> pa.Array:
+        parts = [work(b.column(0)) for b in slices([pa.RecordBatch.from_arrays([col], names=["t"])], "t")]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
 
 
 @dataclass
