@@ -4,9 +4,9 @@ Exact, in two products. Shingles have one global order (hash; those frequent in
 sets that are similar enough share a shingle among the first ``n - ceil(t n) + 1`` of each. Documents with equal sets
 are one class. (1) The product with each list's smallest id: the likeliest such partner of each class is checked,
 which links large groups of near copies at once. (2) Only where a list still holds several linked groups do members of
-different groups meet, in blocks of two chunks of a list: a pair is counted where what stands behind the shingle in
-both orders can still make it a link. Counts are accumulated over all blocks, pairs whose count and rest stay below the
-bound that their sizes set are discarded, and what is left is checked with whole sets.
+different groups meet, in blocks of two chunks of a list: a pair is counted where what stands before and behind the
+shingle in both orders can make it a link. Counts are accumulated over all blocks, pairs whose count and rest stay
+below the bounds that their sizes set are discarded, and what is left is checked with whole sets.
 
 Shingles are known by 64-bit hashes, as are sets by 128-bit sums of them.
 """
@@ -28,12 +28,14 @@ from .textkit import mix, ngrams, slices, trim, words
 class Join:
     """Links where 100 * intersection >= ``percent`` * union. One document in ``sample_every`` is looked through for
     frequent shingles, which only sets the order (speed, never the result). A list is cut into chunks of about
-    ``chunk`` members, and a set's partners into blocks of about ``partners``; no task holds more than two chunks."""
+    ``chunk`` members, and a set's partners into blocks of about ``partners``; no task holds more than two chunks. In
+    lists of more than ``long_list`` members pairs are counted by stricter rules (speed, never the result)."""
 
     words: int = 5
     percent: int = 75
     sample_every: int = 16
     sample_least: int = 3
+    long_list: int = 256
     chunk: int = 1024
     partners: int = 256
 
@@ -198,18 +200,35 @@ def _check(df: DataFrame, pairs: DataFrame, j: Join) -> DataFrame:
 
 
 _MEMBER = ("rep", "n", "pos", "label")
-_PAIR = ("a", "b", "la", "lb", "na", "nb", "c", "pa", "pb")
+_PAIR = ("a", "b", "la", "lb", "na", "nb", "ka", "kb", "c", "pa", "pb")
+
+
+def least_shared(n, m, percent: int):
+    """How many shingles two sets that link share within their prefixes, at least: what they need in common, less
+    what can stand behind the prefix that ends first."""
+    rest = lambda k: k - prefix_length(k, percent)
+    return need(n, m, percent) - np.maximum(rest(n), rest(m))
 
 
 def _met(m: dict, x: np.ndarray, y: np.ndarray, percent: int) -> tuple:
     """Of pairs of members of a list (numbers ``x``, ``y``) those of different groups that this shingle and what
-    stands behind it in both orders can make a link: columns of ``_PAIR``."""
-    n, rest, label = m["n"], m["n"] - m["pos"], m["label"]
-    ok = (label[x] != label[y]) & (np.minimum(rest[x], rest[y]) >= need(n[x], n[y], percent))
+    stands before and behind it in both orders can make a link: columns of ``_PAIR``.
+
+    In a long list only those pairs meet that long lists alone can link (others share a shorter list, too), and only
+    where the shingle can be the first that they share. So each link is met once at least.
+    """
+    n, pos, label = m["n"], m["pos"], m["label"]
+    keep = label[x] != label[y]
+    x, y = x[keep], y[keep]
+    least, rest = need(n[x], n[y], percent), np.minimum(n[x] - pos[x], n[y] - pos[y])
+    ok = np.minimum(pos[x], pos[y]) + rest >= least
+    if m["long"].any():
+        ok &= ~m["long"][x] | ((rest >= least) & (np.minimum(m["n_long"][x], m["n_long"][y]) >= least_shared(n[x], n[y], percent)))
     x, y = x[ok], y[ok]
     swap = m["rep"][x] > m["rep"][y]
     x, y = np.where(swap, y, x), np.where(swap, x, y)
-    return m["rep"][x], m["rep"][y], label[x], label[y], n[x], n[y], np.ones(x.size, np.int64), m["pos"][x], m["pos"][y]
+    both = [m[c][k] for c in ("rep", "label", "n", "n_long") for k in (x, y)]
+    return *both, np.ones(x.size, np.int64), pos[x], pos[y]
 
 
 def _list_pairs(m: dict, first: np.ndarray, percent: int, small: int = 32, block: int = 1 << 18):
@@ -244,7 +263,7 @@ def _summed(parts: list[tuple]) -> tuple:
     order = np.lexsort([cols[k] for k in key])
     cols = [c[order] for c in cols]
     at = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([cols[k][1:] != cols[k][:-1] for k in key])]))
-    return (*(c[at] for c in cols[:6]), np.add.reduceat(cols[6], at), np.maximum.reduceat(cols[7], at), np.maximum.reduceat(cols[8], at))
+    return (*(c[at] for c in cols[:8]), np.add.reduceat(cols[8], at), np.maximum.reduceat(cols[9], at), np.maximum.reduceat(cols[10], at))
 
 
 def _cross_pairs(own: DataFrame, j: Join) -> DataFrame:
@@ -253,12 +272,15 @@ def _cross_pairs(own: DataFrame, j: Join) -> DataFrame:
 
     Rows come sorted by block; a task holds one block (two chunks of a list at most) and a batch.
     """
-    lists = own.groupBy(F.col("h").alias("h2")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / j.chunk).alias("chunks")).where("lo <> hi")
-    rows = own.join(lists.select("h2", "chunks"), F.col("h") == F.col("h2")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    lists = own.groupBy(F.col("h").alias("h2")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    lists = lists.select("h2", F.ceil(F.col("k") / j.chunk).alias("chunks"), (F.col("k") > j.long_list).alias("long"))
+    mixed = materialize(own.join(lists, F.col("h") == F.col("h2")).select("h", *_MEMBER, "chunks", "long"), "join-mixed")
+    n_long = mixed.where("long").groupBy(F.col("rep").alias("r2")).agg(F.count("*").alias("n_long"))
+    rows = mixed.join(n_long, F.col("rep") == F.col("r2"), "left").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("h", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "chunk", *_MEMBER)
+    rows = rows.select("h", F.least("chunk", "o").alias("ci"), F.greatest("chunk", "o").alias("cj"), "chunk", "long", *_MEMBER, F.coalesce("n_long", F.lit(0)).alias("n_long"))
     key = ["h", "ci", "cj"]
-    names = [*key, "chunk", *_MEMBER]
+    names = [*key, "chunk", "long", *_MEMBER, "n_long"]
 
     def run(batches):
         def batch(parts):
@@ -277,7 +299,7 @@ def _cross_pairs(own: DataFrame, j: Join) -> DataFrame:
 
         rest = None
         for b in batches:
-            m = {c: b.column(c).to_numpy() for c in names}
+            m = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
             if rest is not None:
                 m = {c: np.concatenate([rest[c], m[c]]) for c in names}
             if not m["h"].size:
@@ -290,10 +312,16 @@ def _cross_pairs(own: DataFrame, j: Join) -> DataFrame:
         trim()
 
     found = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ", ".join(f"{k} long" for k in _PAIR))
-    found = found.groupBy(*_PAIR[:6]).agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    # all that two sets share: what was counted, and at most what stands behind the last one counted
-    most = F.col("c") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return found.where(most >= F.ceil(F.lit(j.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + j.percent)))
+    found = found.groupBy(*_PAIR[:8]).agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # in prefixes: what was counted, and the long lists' part; in all: at most what stands behind the last one counted, too
+    seen = F.col("c") + F.least("ka", "kb")
+    most = seen + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    n, m = F.col("na"), F.col("nb")
+    rest = lambda k: F.ceil(k * F.lit(j.percent) / F.lit(100)) - 1
+    least = F.ceil(F.lit(j.percent) * (n + m) / F.lit(100 + j.percent))
+    out = materialize(found.where((seen >= least - F.greatest(rest(n), rest(m))) & (most >= least)), "join-pairs")
+    discard(mixed)
+    return out
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -331,7 +359,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = lists.select("h", *_MEMBER[:3]).join(components(first), F.col("rep") == F.col("node"), "left").select("h", *_MEMBER[:3], F.coalesce("label", "rep").alias("label"))
     own = materialize(own, "join-members")
     discard(star, lists)
-    pairs = materialize(_cross_pairs(own, j), "join-pairs")
+    pairs = _cross_pairs(own, j)
     discard(own)
     # of each two groups the likeliest pair first; the others only if that leaves them apart
     best = pairs.groupBy(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import queries
 from seqloom.llm.components import components
-from seqloom.llm.jaccard import Join, jaccard_components, keep_first, need, prefix_length, shingle_sets
+from seqloom.llm.jaccard import Join, jaccard_components, keep_first, least_shared, need, prefix_length, shingle_sets
 from seqloom.llm.shared import BitFilter, xxhash64_long
 
 SCHEMA = "doc_id long, text string, n_shingles string"
@@ -67,8 +67,8 @@ def test_against_brute_force(spark):
         df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
         want = brute(rows)
         assert answer(df) == want
-        assert answer(df, sample_every=1, sample_least=2, chunk=2, partners=1) == want
-        assert answer(df, sample_every=1, sample_least=1, chunk=5, partners=3) == want
+        assert answer(df, sample_every=1, sample_least=2, chunk=2, partners=1, long_list=2) == want
+        assert answer(df, sample_every=1, sample_least=1, chunk=5, partners=3, long_list=1) == want
 
 
 def test_common_passage_in_short_texts(spark):
@@ -79,7 +79,7 @@ def test_common_passage_in_short_texts(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)
     want = brute(rows)
     assert answer(df) == want
-    assert answer(df, chunk=40, partners=7, sample_every=1) == want
+    assert answer(df, chunk=40, partners=7, sample_every=1, long_list=20) == want
 
 
 def test_filter_lets_all_entries_through(spark):
@@ -123,12 +123,11 @@ def test_bounds_hold(a, b):
         assert both >= need(n, m, 75)
         x, y = sorted(a)[: prefix_length(n, 75)], sorted(b)[: prefix_length(m, 75)]
         seen = sorted(set(x) & set(y))
-        assert seen
+        assert len(seen) >= max(1, int(least_shared(n, m, 75)))
         rest = [min(n - x.index(h), m - y.index(h)) for h in seen]
-        counted = [k for k, r in enumerate(rest) if r >= need(n, m, 75)]  # the first of them always
-        assert counted == list(range(len(counted))) and counted
-        last = seen[counted[-1]]
-        assert len(counted) + min(n - x.index(last) - 1, m - y.index(last) - 1) >= need(n, m, 75)
+        assert rest[0] >= need(n, m, 75)  # of the first that they share
+        assert all(min(x.index(h), y.index(h)) + r >= need(n, m, 75) for h, r in zip(seen, rest))
+        assert len(seen) + rest[-1] - 1 >= need(n, m, 75)
 
 
 def test_clashing_columns(spark):
