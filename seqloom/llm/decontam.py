@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Shared
-from .textkit import NON_ALNUM, ngrams, slices, words
+from .textkit import NON_ALNUM, by_slice, ngrams, slices, words
 
 
 @dataclass(frozen=True)
 class Settings:
     """``threshold``: share of a segment's own BM25 score that a passage must reach. ``overlap``: share of a
-    part's ``gram``-word runs that must stand in the text, for the question and for the answer alike."""
+    part's ``gram``-word runs that must stand round the retrieved passages, for the question and the answer alike."""
 
     threshold: float = 0.5
     overlap: float = 0.5
@@ -104,19 +104,33 @@ class Index:
         weight = idf[self.post_term] * tf * (s.k1 + 1) / (tf + norm[self.post_seg])
         own = np.bincount(self.post_seg, weight, n)
         self.weight = (weight / own[self.post_seg]).astype(np.float32) if n else weight
-        self.first = np.searchsorted(self.post_term, np.arange(self.vocab.size + 1))
-        self.bound = np.zeros((self.vocab.size, -(-n // s.block)), np.float32)
-        np.maximum.at(self.bound, (self.post_term, self.post_seg // s.block), self.weight)
-        self.top = self.bound.max(1) if self.bound.size else np.zeros(self.vocab.size, np.float32)
-
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        """Scaled BM25 of every segment for a set of distinct terms."""
-        start, size = self.first[terms], self.first[terms + 1] - self.first[terms]
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.post_seg[at], self.weight[at], self.seg_item.size)
+        # postings come by term and segment, so by term and block: runs of them with their maxima
+        block = self.post_seg // s.block
+        cut = _cuts(self.post_term * (n // s.block + 1) + block)
+        self.run_block, self.run_start = block[cut], np.append(cut, self.post_seg.size)
+        self.run_max = np.maximum.reduceat(self.weight, cut) if cut.size else np.zeros(0, np.float32)
+        self.first = np.searchsorted(self.post_term[cut], np.arange(self.vocab.size + 1))
+        self.top = np.maximum.reduceat(self.run_max, self.first[:-1]) if cut.size else np.zeros(self.vocab.size, np.float32)
+        self.n_blocks = -(-n // s.block)
+
+    def matches(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(segments from the threshold on, their scaled BM25, postings read) for a set of distinct terms: blocks whose
+        maxima cannot reach the threshold are skipped, and only postings in the others are read."""
+        least = self.s.threshold - 1e-6
+        runs = _ranges(self.first[terms], self.first[terms + 1])
+        live = np.bincount(self.run_block[runs], self.run_max[runs], self.n_blocks) >= least
+        if not live.any():
+            return np.zeros(0, np.int64), np.zeros(0), 0
+        runs = runs[live[self.run_block[runs]]]
+        at = _ranges(self.run_start[runs], self.run_start[runs + 1])
+        seg, number = np.unique(self.post_seg[at], return_inverse=True)
+        score = np.bincount(number, self.weight[at], seg.size)
+        good = score >= least
+        return seg[good], score[good], at.size
 
     def search(self, col) -> list[tuple[int, int, float, float, float]]:
-        """(text, item, score, question overlap, answer overlap) of each item that some passage retrieves."""
+        """(text, item, score, question overlap, answer overlap) of each item that some passage retrieves; overlaps are
+        the best of a stretch of retrieved passages with an item's length of words round it."""
         s, found = self.s, {}
         if not self.vocab.size:
             return []
@@ -133,31 +147,49 @@ class Index:
         owner = np.repeat(np.arange(w.counts.size), halves)
         nxt = np.zeros(base[-1], bool)
         nxt[:-1] = owner[1:] == owner[:-1]
-        # terms' maxima first (WAND), then block maxima, then scores
+        # terms' maxima first (WAND), then block maxima, then postings
         likely = np.flatnonzero(total[:-1] + np.where(nxt, total[1:], 0) >= s.threshold - 1e-6)
         start = np.searchsorted(half, np.arange(base[-1] + 1))
         for p in likely:
-            terms = np.unique(term[start[p] : start[p + 1 + nxt[p]]])
-            blocks = np.flatnonzero(self.bound[terms].sum(0) >= s.threshold - 1e-6)
-            if blocks.size:
-                score = self.scores(terms)
-                for g in np.flatnonzero(score >= s.threshold - 1e-6):
-                    if g // s.block in blocks:
-                        pair = (int(owner[p]), int(self.seg_item[g]))
-                        found[pair] = max(found.get(pair, 0.0), float(score[g]))
+            for g, score in zip(*self.matches(np.unique(term[start[p] : start[p + 1 + nxt[p]]]))[:2]):
+                best = found.setdefault((int(owner[p]), int(self.seg_item[g])), [0.0, []])
+                best[0] = max(best[0], float(score))
+                best[1].append(int(p - base[owner[p]]) * s.segment)
         out, grams = [], {}
-        for (d, i), score in sorted(found.items()):
+        for (d, i), (score, passages) in sorted(found.items()):
+            own, h = slice(2 * i, 2 * i + 2), w.hash[w.first[d] : w.first[d + 1]]
+            length = int(self.part_words[own].sum())
             share = []
-            for g, own in zip((2 * i, 2 * i + 1), self.grams[2 * i : 2 * i + 2]):
-                h = w.hash[w.first[d] : w.first[d + 1]]
-                k = max(1, min(s.gram, int(self.part_words[g])))
-                if (d, k) not in grams:
-                    grams[d, k] = ngrams(h, np.array([0, h.size]), k)[0]
-                share.append(float(np.isin(own, grams[d, k]).mean()) if own.size else 1.0)
-            out.append((d, i, score, *share))
+            for a, e in _stretches(sorted(set(passages)), 2 * s.segment, length, h.size):
+                part = []
+                for n, want in zip(self.part_words[own], self.grams[own]):
+                    k = max(1, min(s.gram, int(n)))
+                    if (d, k) not in grams:
+                        grams[d, k] = ngrams(h, np.array([0, h.size]), k)[0]
+                    part.append(float(np.isin(want, grams[d, k][a : max(a, e - k + 1)]).mean()) if want.size else 1.0)
+                share.append(part)
+            out.append((d, i, score, *max(share, key=lambda x: (min(x), sum(x)))))
         return out
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the given ranges, end to end."""
+    size = end - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _stretches(starts: list[int], width: int, margin: int, n: int) -> list[tuple[int, int]]:
+    """Word ranges from ``margin`` before each start to ``margin`` behind its passage, joined where they meet."""
+    out = []
+    for a in starts:
+        a, e = max(0, a - margin), min(n, a + width + margin)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
+
+
 def count_segments(rows: DataFrame, s: Settings) -> Statistics:
     """Counted by Spark; the driver gets one row a distinct term of the items."""
     def run(batches):
@@ -220,15 +252,19 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``df`` in which no item leaks, with all their columns, in one narrow pass a block of items."""
-    for index in build_indexes(items, settings, item_id_col, item_text_col):
-        shared = Shared(df.sparkSession, index)
+    """The rows of ``df`` in which no item leaks, with all their columns, in one narrow pass a block of items.
 
-        def run(batches, shared=shared):
-            for b in slices(batches, text_col):
-                keep = np.ones(b.num_rows, bool)
-                keep[[g[0] for g in shared.value.search(b.column(text_col)) if min(g[3:]) >= settings.overlap]] = False
-                yield b.filter(pa.array(keep))
+    Only texts go to Python. Null and empty texts stay, as do all rows where there are no items; ties and repeated rows
+    are judged alike; an empty table stays empty; columns of any name pass through.
+    """
+    def keep(index: Shared):
+        def work(t: pa.Array) -> pa.Array:
+            out = np.ones(len(t), bool)
+            out[[g[0] for g in index.value.search(t) if min(g[3:]) >= settings.overlap]] = False
+            return pa.array(out)
 
-        df = df.mapInArrow(run, df.schema)
+        return F.arrow_udf(by_slice(work, pa.bool_()), "boolean")(df[text_col].cast("string"))
+
+    for index in build_indexes(items, settings, item_id_col, item_text_col):
+        df = df.where(keep(Shared(df.sparkSession, index)))
     return df

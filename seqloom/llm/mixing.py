@@ -7,12 +7,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .shared import materialize
-from .textkit import slices, words
+from .shared import discard, fresh_name, materialize
+from .textkit import by_slice, slices, words
+from .textkit import mix as mixed
 
 AXES = ("source", "lang", "topic")
+DIM = 32  # of texts' vectors
+EVERY = 5  # sweeps between looks at whether they still change anything
 
 
 @dataclass(frozen=True)
@@ -23,21 +26,59 @@ class Mix:
     keep: float = 0.5
     power: dict[str, float] = field(default_factory=lambda: {"source": 0.7, "lang": 0.7, "topic": 0.5})
     targets: dict[str, dict] = field(default_factory=dict)
-    topics: int = 8
+    topics: int = 8  # clusters of texts, 32 at most
+    rounds: int = 5  # of clustering
     sweeps: int = 200
     tolerance: float = 1e-9
     seed: int = 8
     max_cells: int = 100_000  # more cells than this are raked by Spark instead of the driver
 
 
-def topics_and_tokens(col, n_topics: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: the hashed word group that holds most of its words of five bytes or more (the first of the
-    largest; 0 without such words), and its number of words."""
+def text_vectors(col) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the direction (int8, 127 is one) of the sum of its words' signs, words of five bytes or more, each
+    with 32 signs from its hash (zeros without such words); and its number of words."""
     w = words(col)
-    n = w.counts.size
     long = np.flatnonzero(w.ends - w.starts >= 5)
-    votes = np.bincount(w.doc[long] * n_topics + (w.hash[long] % np.uint64(n_topics)).astype(np.int64), minlength=n * n_topics)
-    return votes.reshape(n, n_topics).argmax(1), w.counts
+    signs = 1 - 2 * np.unpackbits(mixed(w.hash[long] ^ np.uint64(1 << 59)).view(np.uint8).reshape(-1, 8)[:, : DIM // 8], axis=1).astype(np.int8)
+    out, doc = np.zeros((w.counts.size, DIM)), w.doc[long]
+    if doc.size:
+        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[doc[cut]] = np.add.reduceat(signs, cut, axis=0, dtype=np.int64)
+    length = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return np.rint(127 * out / length).astype(np.int8), w.counts
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre most like each vector (the first of ties; 0 for zeros)."""
+    return (vectors.astype(np.float64) @ centres.T).argmax(1).astype(np.int32)
+
+
+def _unpacked(b) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("vector").to_pylist()), np.int8).reshape(-1, DIM)
+
+
+def topic_centres(tagged: DataFrame, mix: Mix) -> np.ndarray:
+    """Spherical k-means over all rows' ``vector``: ``rounds`` passes over a narrow table. A task sends the whole-number
+    sums of each cluster, so the result is the same for any partitions. The first clusters are by the largest of the
+    first places."""
+    centres = np.eye(mix.topics, DIM)
+    for _ in range(mix.rounds):
+        def sums(batches, centres=centres):
+            total = np.zeros((mix.topics, DIM), np.int64)
+            for b in batches:
+                v = _unpacked(b)
+                np.add.at(total, nearest(v, centres), v.astype(np.int64))
+            at = np.arange(mix.topics * DIM)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], names=["at", "total"])
+
+        rows = tagged.select("vector").mapInArrow(sums, "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).collect()
+        total = np.zeros(mix.topics * DIM)
+        for r in rows:
+            total[r["at"]] = r["total"]
+        total = total.reshape(mix.topics, DIM)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 0, total / np.maximum(length, 1e-9), centres)
+    return centres
 
 
 def targets_of(shares: dict, axis: str, mix: Mix) -> dict:
@@ -60,19 +101,20 @@ def rake(cells: list[tuple], tokens: np.ndarray, mix: Mix) -> np.ndarray:
         have = np.bincount(code, tokens, len(values))
         share = targets_of({v: h / total for v, h in zip(values, have)}, axis, mix) if total else {}
         axes.append((code, np.array([share.get(v, 0.0) for v in values]) * total * mix.keep))
-    for _ in range(mix.sweeps):
+    for sweep in range(mix.sweeps):
         before = x
         for code, want in axes:
             now = np.bincount(code, x, want.size)
             x = x * np.divide(want, now, out=np.zeros(want.size), where=now > 0)[code]
         x = np.minimum(x, tokens)
-        if np.abs(x - before).max(initial=0) <= mix.tolerance * max(total, 1):
+        if sweep % EVERY == EVERY - 1 and np.abs(x - before).max(initial=0) <= mix.tolerance * max(total, 1):
             break
     return x
 
 
-def rake_by_spark(cells: DataFrame, mix: Mix, every: int = 5) -> DataFrame:
-    """The same sweeps over a table ``source, lang, topic, tokens`` of any size, cut to the shared folder now and then."""
+def rake_by_spark(cells: DataFrame, mix: Mix) -> DataFrame:
+    """The same sweeps over a table ``source, lang, topic, tokens`` of any size, written to the shared folder after each."""
+    first = None
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     cells = cells.withColumn("x", F.col("tokens") * F.lit(mix.keep))
     wants = []
@@ -80,8 +122,10 @@ def rake_by_spark(cells: DataFrame, mix: Mix, every: int = 5) -> DataFrame:
         have = cells.groupBy(axis).agg((F.sum("tokens") / F.lit(float(max(total, 1)))).alias("share"))
         given = mix.targets.get(axis)
         if given:
-            pairs = [x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))]
-            have = have.withColumn("raw", F.coalesce(F.element_at(F.create_map(*pairs), F.col(axis)), F.lit(0.0)))
+            raw = F.lit(0.0)
+            for k, v in given.items():
+                raw = F.when(F.col(axis).eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(raw)
+            have = have.withColumn("raw", raw)
         else:
             have = have.withColumn("raw", F.when(F.col("share") > 0, F.pow("share", F.lit(mix.power.get(axis, 1.0)))).otherwise(0.0))
         scale = have.agg(F.sum("raw")).first()[0] or 0
@@ -93,21 +137,31 @@ def rake_by_spark(cells: DataFrame, mix: Mix, every: int = 5) -> DataFrame:
             scale = want.join(now, F.col("key").eqNullSafe(F.col("key2"))).select("key", F.when(F.col("now") > 0, F.col("want") / F.col("now")).otherwise(0.0).alias("scale"))
             cells = cells.join(scale, F.col(axis).eqNullSafe(F.col("key")), "left").withColumn("x", F.col("x") * F.col("scale")).drop("key", "scale")
         cells = cells.withColumn("x", F.least("x", "tokens"))
-        if sweep % every == every - 1 or sweep == mix.sweeps - 1:
-            cells = materialize(cells, "mix-cells")
-            if (cells.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0) <= mix.tolerance * max(total, 1):
-                break
+        cells = materialize(cells, "mix-cells")
+        if first is not None:
+            discard(first)
+        first = cells
+        if sweep % EVERY == EVERY - 1 and (cells.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0) <= mix.tolerance * max(total, 1):
+            break
     return cells.select(*AXES, "tokens", "x")
 
 
 def _tagged(df: DataFrame, text_col: str, mix: Mix) -> DataFrame:
-    """``df`` with ``mix_topic`` and ``mix_tokens``."""
+    """``df`` without the text, but with ``mix_tokens`` and ``vector``."""
+    keep = [c for c in df.columns if c != text_col]
+
     def run(batches):
         for b in slices(batches, text_col):
-            topic, n = topics_and_tokens(b.column(text_col), mix.topics)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topic.astype(np.int32)), pa.array(n.astype(np.int64))], names=[*b.schema.names, "mix_topic", "mix_tokens"])
+            v, n = text_vectors(b.column(text_col))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in v], pa.binary())], names=[*keep, "mix_tokens", "vector"])
+
+    return df.mapInArrow(run, StructType([*(f for f in df.schema.fields if f.name != text_col), StructField("mix_tokens", LongType()), StructField("vector", BinaryType())]))
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("mix_topic", IntegerType()), StructField("mix_tokens", LongType())]))
+
+def _with_topics(tagged: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``mix_topic`` in place of ``vector``."""
+    topic = F.arrow_udf(lambda v: pa.array(nearest(np.frombuffer(b"".join(v.to_pylist()), np.int8).reshape(-1, DIM), centres)), "int")
+    return tagged.withColumn("mix_topic", topic("vector")).drop("vector")
 
 
 def cell_weights(cells: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
@@ -126,21 +180,28 @@ def cell_weights(cells: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
     return table.withColumn("weight", F.col("probability") / F.lit(mix.keep)), small
 
 
-def _with_probability(tagged: DataFrame, mix: Mix, weights: DataFrame, small: bool, source_col: str, lang_col: str) -> DataFrame:
-    w = weights.select(*(F.col(a).alias(f"mix_key_{a}") for a in AXES), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+def _with_probability(tagged: DataFrame, weights: DataFrame, small: bool, source, lang, topic, names: list[str]) -> DataFrame:
+    """Add weight and probability of each row's cell under ``names``."""
+    keys = [fresh_name(tagged, f"mix_key_{a}") for a in AXES]
+    w = weights.select(*(F.col(a).alias(k) for a, k in zip(AXES, keys)), *(F.col(c).alias(n) for c, n in zip(("weight", "probability"), names)))
     w = F.broadcast(w) if small else w  # at most Mix.max_cells rows
-    on = F.col(source_col).eqNullSafe(F.col("mix_key_source")) & F.col(lang_col).eqNullSafe(F.col("mix_key_lang")) & (F.col("mix_topic") == F.col("mix_key_topic"))
-    return tagged.join(w, on, "left").drop(*(f"mix_key_{a}" for a in AXES))
+    on = source.eqNullSafe(F.col(keys[0])) & lang.eqNullSafe(F.col(keys[1])) & (topic == F.col(keys[2]))
+    return tagged.join(w, on, "left").drop(*keys)
 
 
-def _chosen(id_col: str, mix: Mix):
+def _chosen(id_column, probability, mix: Mix):
     """A uniform number from the id's hash, below the probability; the same on every run."""
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(mix.seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)))
-    return u < F.col("mix_probability")
+    u = (F.pmod(F.xxhash64(id_column, F.lit(mix.seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)))
+    return F.coalesce(u < probability, F.lit(False))
 
 
-def _cells(tagged: DataFrame, source_col: str, lang_col: str) -> DataFrame:
-    return tagged.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
+def _prepared(df: DataFrame, columns: list, text_col: str, mix: Mix) -> tuple[DataFrame, np.ndarray, DataFrame, bool]:
+    """(table of ``columns`` with source, lang, tokens and topic, centres, cell weights, whether these are few)."""
+    tagged = materialize(_tagged(df.select(*columns, df[text_col].cast("string").alias("mix_text")), "mix_text", mix), "mix-documents")
+    centres = topic_centres(tagged, mix)
+    tagged = _with_topics(tagged, centres)
+    cells = tagged.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
+    return tagged, centres, *cell_weights(cells, mix)
 
 
 def plan_mix(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -148,16 +209,25 @@ def plan_mix(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col:
 
     Null source and language are values of their own; null and empty texts have topic 0 and no tokens, and follow
     their cell; a cell without tokens has probability 0; rows with one id share a draw; an empty table gives an
-    empty table; other columns are ignored.
+    empty table; texts of any length are read whole; other columns are ignored.
     """
-    tagged = materialize(_tagged(df.select(id_col, source_col, lang_col, df[text_col].cast("string").alias("mix_text")), "mix_text", mix).drop("mix_text"), "mix-documents")
-    weights, small = cell_weights(_cells(tagged, source_col, lang_col), mix)
-    out = _with_probability(tagged, mix, weights, small, source_col, lang_col)
-    return out.select(id_col, F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.coalesce(_chosen(id_col, mix), F.lit(False)).alias("selected"))
+    own = [df[id_col].alias("mix_id"), df[source_col].alias("source"), df[lang_col].alias("lang")]
+    tagged, _, weights, small = _prepared(df, own, text_col, mix)
+    out = _with_probability(tagged, weights, small, F.col("source"), F.col("lang"), F.col("mix_topic"), ["weight", "probability"])
+    return out.select(F.col("mix_id").alias(id_col), "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), "weight", "probability", _chosen(F.col("mix_id"), F.col("probability"), mix).alias("selected"))
 
 
 def sample_mix(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The sampled rows of ``df`` with all their columns."""
-    tagged = _tagged(df, text_col, mix)
-    weights, small = cell_weights(_cells(_tagged(df.select(source_col, lang_col, text_col), text_col, mix), source_col, lang_col), mix)
-    return _with_probability(tagged, mix, weights, small, source_col, lang_col).where(_chosen(id_col, mix)).select(*df.columns)
+    """The sampled rows of ``df`` with all their columns: those that ``plan_mix`` selects.
+
+    Only texts go to Python. Nulls, ties, repeated rows, empty tables and long texts are as there; columns of any
+    name pass through.
+    """
+    tagged, centres, weights, small = _prepared(df, [df[source_col].alias("source"), df[lang_col].alias("lang")], text_col, mix)
+    names = []
+    for name in ("mix_topic", "mix_weight", "mix_probability"):
+        names.append(fresh_name(df, name))
+    topic = F.arrow_udf(by_slice(lambda t: pa.array(nearest(text_vectors(t)[0], centres)), pa.int32()), "int")
+    rows = df.withColumn(names[0], topic(df[text_col].cast("string")))
+    out = _with_probability(rows, weights, small, rows[source_col], rows[lang_col], rows[names[0]], names[1:])
+    return out.where(_chosen(F.col(id_col), F.col(names[2]), mix)).select(*df.columns)

@@ -1,6 +1,6 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each preceding word (known by its hash in full) is a context with a restaurant of its own; all of them share the
+Each preceding word (known by 48 bits of its hash) is a context with a restaurant of its own; all of them share the
 restaurant of words as their parent; a word's first table there asks its letters, which sit in restaurants for
 contexts of up to three letters, where a context's parent is the context without its oldest letter. Seatings are
 drawn by blocked sweeps: all customers of a dish leave their restaurant and sit down again one after another, given
@@ -9,12 +9,16 @@ conditional, and restaurants move at the same time, so this is a parallel approx
 Predictive probabilities are averaged over several chains. Outcomes are the V words of the training texts (the end of
 a text is one) and one more, any other word: what letters give to all unseen words together.
 
-Data flow: texts are cut into chunks (token stream + chunk vocabulary of context and word pairs); chunk vocabularies
-meet by hash range of the word, where pairs get corpus counts and seats. A restaurant's customers and tables lie in
-many ranges of words: after each sweep they meet by hash range of the context, and the sums go back to the ranges that
-asked. Probabilities go back to their chunks and are summed by text. No task holds more than a chunk or a range, no
-token is shuffled, a frequent pair is one entry a chunk, and the driver gets only the letter model and three sums a
-range and chain.
+Draws are hashes of the word, its context, the sweep and the customer, so the model does not depend on chunks, ranges
+or partitions.
+
+Data flow: texts are cut into chunks (a stream of word numbers, and the chunk's distinct pairs of context and word);
+the pairs meet by hash range of the word, where they get corpus counts and seats. A restaurant's customers and tables
+lie in many ranges of words: after each sweep they meet by hash range of the context, and the sums go back to the
+ranges that asked. Probabilities go back to their chunks and are summed by text. No task holds more than a chunk or a
+range, no token is shuffled but in its chunk's stream, a frequent pair is one entry a chunk, and the driver gets only
+the letter model and three sums a range and chain. A chunk has a row for each range that holds one of its words: never
+more than it has distinct words.
 """
 from __future__ import annotations
 
@@ -26,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shared, materialize
-from .textkit import crc_rows, mix, slices, span_hash, words
+from .shared import Shared, discard, materialize, materialize_by
+from .textkit import crc_rows, mix, pack, pack_steps, slices, span_hash, trim, unpack, unpack_steps, words
 
 #: Bits kept of the last, second last and third last letter: 2 ** 17 contexts at most.
 BITS = (7, 5, 5)
 END = 0x20  # of a word; no letter of a word
 START = 0  # stands before a word
-BEGIN = np.uint64(0)  # context at the start of a text; else the hash of the preceding word
+BEGIN = np.uint64(0)  # context at the start of a text; else 48 bits of the preceding word's hash
+#: Steps of log10 of a probability that are sent back to a chunk: 1 / 2048.
+STEP = 2048
 _PAIR = np.int64(32)  # a pair is word number << 32 | context number
 
 
@@ -41,8 +47,8 @@ _PAIR = np.int64(32)  # a pair is word number << 32 | context number
 class Settings:
     fold: int = 7
     held_out: int = 2
-    chunk_words: int = 1_500_000
-    range_bytes: int = 32 << 20  # input bytes behind each hash range
+    chunk_words: int = 800_000
+    range_bytes: int = 16 << 20  # bytes of text behind each hash range
     sweeps: int = 12  # of the letters' restaurants
     rounds: int = 3  # sweeps of words and contexts, each given the seats of the one before
     samples: int = 3
@@ -52,29 +58,6 @@ class Settings:
 
 # --- chunks ---------------------------------------------------------------------------------------------------
 
-def pack(a: np.ndarray) -> bytes:
-    """Compressed, first bytes of all values first."""
-    a = np.ascontiguousarray(a).ravel()
-    return pa.compress(a.view(np.uint8).reshape(a.size, -1).T.tobytes(), codec="zstd", asbytes=True) if a.size else b""
-
-
-def unpack(b: bytes, dtype, n: int) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    if not n:
-        return np.zeros(0, dtype)
-    planes = np.frombuffer(pa.decompress(b, n * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).ravel()
-
-
-def pack_steps(a: np.ndarray) -> bytes:
-    """As ``pack``, for unsigned values that mostly rise."""
-    return pack(np.diff(a, prepend=a.dtype.type(0)))
-
-
-def unpack_steps(b: bytes, dtype, n: int) -> np.ndarray:
-    return np.cumsum(unpack(b, dtype, n), dtype=dtype)
-
-
 def letters_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hashes of words laid end to end; an empty word is the end of a text."""
     out = np.full(size.size, mix(np.array([1 << 50], np.uint64))[0], np.uint64)
@@ -93,12 +76,21 @@ def take_letters(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.n
     return data[at]
 
 
+def pairs_of(word: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """word << 32 | context for each token of texts of the given sizes: 0 at a text's start, else 1 + preceding word."""
+    before = np.zeros(word.size, np.int64)
+    before[1:] = word[:-1]
+    before[1:] += 1
+    before[np.cumsum(size) - size] = 0
+    return word << _PAIR | before
+
+
 class Chunk:
-    """Distinct context and word pairs of some texts, with training counts, and the texts as numbers of pairs."""
+    """Distinct context and word pairs of some texts, with training counts, and the texts as word numbers."""
 
     def __init__(self):
         self.ids, self.held, self.len, self.n = [], [], [], 0
-        self.hash, self.letters, self.size, self.key, self.count, self.stream = [], [], [], [], [], []
+        self.hash, self.letters, self.size, self.stream = [], [], [], []
 
     def add(self, ids, col, held: np.ndarray) -> None:
         w = words(col, lower=True)
@@ -108,10 +100,6 @@ class Chunk:
         ends = np.insert(w.ends, at, w.off[1:])
         h = np.insert(w.hash, at, letters_hash(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0])
         own, first, word = np.unique(h, return_index=True, return_inverse=True)
-        before = np.zeros(h.size, np.int64)  # 0: start of a text; else 1 + number of the preceding word
-        before[1:] = word[:-1] + 1
-        before[w.first[:-1] + np.arange(w.counts.size)] = 0
-        key, inverse = np.unique(word << _PAIR | before, return_inverse=True)
         size = ends[first] - starts[first]
         self.ids.append(ids)
         self.held.append(held)
@@ -119,42 +107,38 @@ class Chunk:
         self.hash.append(own)
         self.size.append(size)
         self.letters.append(take_letters(w.data, starts[first], size))
-        self.key.append(key)
-        self.count.append(np.bincount(inverse, np.repeat(~held, w.counts + 1), key.size).astype(np.int64))
-        self.stream.append(inverse.astype(np.uint32))
+        self.stream.append(word.astype(np.uint32))
         self.n += h.size
 
     def rows(self, ranges: int):
         """The vocabulary of each range, then the texts under part -1, as rows of PART without the chunk."""
         own, at, number = np.unique(np.concatenate(self.hash), return_index=True, return_inverse=True)
-        base, keys = 0, []
-        for k, h in zip(self.key, self.hash):
-            before = k & 0xFFFFFFFF
-            keys.append(number[base + (k >> _PAIR)] << _PAIR | np.where(before > 0, number[base + np.maximum(before, 1) - 1] + 1, 0))
-            base += h.size
-        pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         base, stream = 0, []
-        for idx, k in zip(self.stream, self.key):
-            stream.append(inverse[base : base + k.size].astype(np.uint32)[idx])
-            base += k.size
-        total = np.bincount(inverse, np.concatenate(self.count), pairs.size).astype(np.int64)
+        for h, word in zip(self.hash, self.stream):
+            stream.append(number[base : base + h.size][word].astype(np.uint32))
+            base += h.size
+        stream, length, held = np.concatenate(stream), np.concatenate(self.len), np.concatenate(self.held)
+        self.stream = self.hash = []
+        pairs, inverse = np.unique(pairs_of(stream.astype(np.int64), length), return_inverse=True)
+        total = np.bincount(inverse, np.repeat(~held, length), pairs.size).astype(np.int64)
+        del inverse
         size, data = np.concatenate(self.size), np.concatenate(self.letters)
         offset = np.cumsum(size) - size
         word, before = pairs >> _PAIR, pairs & 0xFFFFFFFF
-        part, context = range_of(own, ranges), np.concatenate([[BEGIN], own])
+        part, context = range_of(own, ranges), np.concatenate([[BEGIN], own >> np.uint64(16)])
         for p in np.unique(part):
             a, b = np.searchsorted(part, [p, p + 1])
             i, j = np.searchsorted(word, [a, b])
             used, local = np.unique(before[i:j], return_inverse=True)
-            v = Vocabulary(take_letters(data, offset[at[a:b]], size[at[a:b]]), size[at[a:b]], np.bincount(word[i:j] - a, minlength=b - a), context[used], local, total[i:j])
+            # places of contexts follow their 48 bits, as words' numbers follow their hashes
+            v = Vocabulary(take_letters(data, offset[at[a:b]], size[at[a:b]]), size[at[a:b]], np.bincount(word[i:j] - a, minlength=b - a), own[a:b].astype(np.uint32), context[used], local, total[i:j])
             yield int(p), *v.row()
-        held, n, stream = np.concatenate(self.held), np.concatenate(self.len), np.concatenate(stream)
-        yield -1, n.size, stream.size, 0, pack(stream), pack(n.astype(np.uint32)), pack(held.astype(np.uint8)), b"", b""
+        yield -1, length.size, stream.size, own.size, pack(stream), pack(length.astype(np.uint32)), pack(held.astype(np.uint8)), b"", b""
 
 
-def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+def range_of(key: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
     """By the upper bits of the hash, so a word's pairs share a range and ranges follow the order of keys."""
-    return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return ((key >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 PART = "part int, chunk long, n long, m long, k long, a binary, b binary, c binary, d binary, e binary"
@@ -174,7 +158,9 @@ def cut_chunks(df: DataFrame, id_col: str, text_col: str, ranges: int, s: Settin
             rows = [(r[0], number, *r[1:]) for r in chunk.rows(ranges)]
             ids = pa.concat_arrays(chunk.ids)
             lists = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [len(ids)], pa.int32()), ids)
-            return part_batch(rows).append_column("ids", lists).combine_chunks().to_batches()[0]
+            out = part_batch(rows).append_column("ids", lists).append_column("texts", pa.array([int(r[0] < 0) for r in rows], pa.int32()))
+            trim()
+            return out.combine_chunks().to_batches()[0]
 
         chunk = Chunk()
         for b in slices(batches, "t"):
@@ -188,7 +174,7 @@ def cut_chunks(df: DataFrame, id_col: str, text_col: str, ranges: int, s: Settin
             yield emit(chunk)
 
     rows = df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t"))
-    return rows.mapInArrow(run, f"{PART}, ids array<{kind}>")
+    return rows.mapInArrow(run, f"{PART}, ids array<{kind}>, texts int")
 
 
 # --- pairs by hash range --------------------------------------------------------------------------------------
@@ -200,6 +186,7 @@ class Vocabulary:
     data: np.ndarray
     size: np.ndarray
     pairs: np.ndarray  # of each word
+    salt: np.ndarray  # of each word, 32 bits of its hash
     contexts: np.ndarray
     context: np.ndarray  # of each pair, its place in ``contexts``
     count: np.ndarray
@@ -208,12 +195,12 @@ class Vocabulary:
     def of(cls, row) -> Vocabulary:
         """Of a row of PART; without letters where these were left out."""
         n, m = row["n"], row["m"]
-        size, pairs = unpack(row["b"], np.uint32, 2 * n).astype(np.int64).reshape(2, n)
+        size, pairs, salt = unpack(row["b"], np.uint32, 3 * n).reshape(3, n)
         data = np.zeros(0, np.uint8) if row["a"] is None else unpack(row["a"], np.uint8, int(size.sum()))
-        return cls(data, size, pairs, unpack_steps(row["c"], np.uint64, row["k"]), unpack_steps(row["d"], np.uint32, m).astype(np.int64), unpack(row["e"], np.uint32, m).astype(np.int64))
+        return cls(data, size.astype(np.int64), pairs.astype(np.int64), salt, unpack_steps(row["c"], np.uint64, row["k"]), unpack_steps(row["d"], np.uint32, m).astype(np.int64), unpack(row["e"], np.uint32, m).astype(np.int64))
 
     def row(self) -> tuple:
-        sizes = np.concatenate([self.size, self.pairs]).astype(np.uint32)
+        sizes = np.concatenate([self.size.astype(np.uint32), self.pairs.astype(np.uint32), self.salt])
         return self.size.size, self.count.size, self.contexts.size, pack(self.data), pack(sizes), pack_steps(self.contexts), pack_steps(self.context.astype(np.uint32)), pack(self.count.astype(np.uint32))
 
     @property
@@ -226,27 +213,32 @@ class Vocabulary:
 
 
 def merge_ranges(store: DataFrame) -> DataFrame:
-    """One row a range with its words and pairs (chunk null), and one for each chunk with its pairs' numbers."""
+    """One row a range with its words and pairs (chunk null), and one for each chunk with its words' and pairs' numbers."""
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         part, every = rows[0]["part"], [Vocabulary.of(r) for r in rows]
-        own, at, number = np.unique(np.concatenate([letters_hash(v.data, v.size) for v in every]), return_index=True, return_inverse=True)
+        hashes = np.concatenate([letters_hash(v.data, v.size) for v in every])
+        own, at, number = np.unique(hashes, return_index=True, return_inverse=True)
         contexts, place = np.unique(np.concatenate([v.contexts for v in every]), return_inverse=True)
         w, c, keys = 0, 0, []
         for v in every:
             keys.append(number[w + v.word] << _PAIR | place[c + v.context])
             w, c = w + v.size.size, c + v.contexts.size
+        del place
         pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         total = np.bincount(inverse, np.concatenate([v.count for v in every]), pairs.size).astype(np.int64)
         size, data = np.concatenate([v.size for v in every]), np.concatenate([v.data for v in every])
         offset = np.cumsum(size) - size
-        merged = Vocabulary(take_letters(data, offset[at], size[at]), size[at], np.bincount(pairs >> _PAIR, minlength=own.size), contexts, pairs & 0xFFFFFFFF, total)
-        cut = np.cumsum([0, *(v.count.size for v in every)])
+        merged = Vocabulary(take_letters(data, offset[at], size[at]), size[at], np.bincount(pairs >> _PAIR, minlength=own.size), own.astype(np.uint32), contexts, pairs & 0xFFFFFFFF, total)
+        cut, ends = np.cumsum([0, *(v.count.size for v in every)]), np.cumsum([0, *(v.size.size for v in every)])
         out = [(part, None, *merged.row())]
-        out += [(part, r["chunk"], 0, r["m"], 0, pack_steps(inverse[a:b].astype(np.uint32)), *[None] * 4) for r, a, b in zip(rows, cut, cut[1:])]
+        out += [(part, r["chunk"], r["n"], r["m"], 0, pack_steps(inverse[a:b].astype(np.uint32)), pack_steps(number[x:y].astype(np.uint32)), *[None] * 3) for r, a, b, x, y in zip(rows, cut, cut[1:], ends, ends[1:])]
+        del every, inverse, merged
+        trim()
         return part_batch(out)
 
-    return store.where("part >= 0").drop("ids").groupBy("part").applyInArrow(merge, PART)
+    return store.drop("ids").groupBy("part").applyInArrow(merge, PART)
 
 
 #: Values of ``k`` in rows that are no vocabulary.
@@ -257,7 +249,7 @@ def ask(part: int, v: Vocabulary, tables: list[np.ndarray], ranges: int) -> list
     """To each range of contexts: a range of words' contexts, their customers there and their tables in each chain."""
     n = v.contexts.size
     sums = np.array([np.bincount(v.context, x, n) for x in (v.count, *tables)]).astype(np.uint32)
-    to = range_of(v.contexts, ranges)
+    to = range_of(v.contexts, ranges, 48)
     edge = [*_starts(to), n]
     return [(int(to[i]), part, j - i, 0, ASK, pack_steps(v.contexts[i:j]), pack(sums[:, i:j]), *[None] * 3) for i, j in zip(edge, edge[1:])]
 
@@ -281,7 +273,7 @@ def answer(chains: int):
 
 def seats_row(part: int, log0: np.ndarray, pairs: list[np.ndarray], tops: list[np.ndarray]) -> tuple:
     """Tables of pairs and of words in each chain, and the words' letters."""
-    return part, None, log0.size, pairs[0].size, SEATS, pack(log0), pack(np.array(pairs, np.uint32)), pack(np.array(tops, np.uint32)), None, None
+    return part, None, log0.size, pairs[0].size, SEATS, pack(log0.astype(np.float32)), pack(np.array(pairs, np.uint32)), pack(np.array(tops, np.uint32)), None, None
 
 
 def gathered(rows: list[dict], chains: int):
@@ -293,7 +285,7 @@ def gathered(rows: list[dict], chains: int):
     n, m = seats["n"], seats["m"]
     t2 = unpack(seats["b"], np.uint32, chains * m).astype(np.int64).reshape(chains, m)
     t1 = unpack(seats["c"], np.uint32, chains * n).astype(np.int64).reshape(chains, n)
-    return v, unpack(seats["a"], np.float64, n), t2, t1, total[0], total[1:]
+    return v, unpack(seats["a"], np.float32, n).astype(float), t2, t1, total[0], total[1:]
 
 
 # --- letters --------------------------------------------------------------------------------------------------
@@ -316,10 +308,17 @@ def letter_cells(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ctx << 8 | seq
 
 
-def seat(c: np.ndarray, p0: np.ndarray, theta: np.ndarray, d: float, tables: np.ndarray, rng, grow: bool = False) -> np.ndarray:
+def uniform(keys: np.ndarray, turn: int):
+    """Draws for ``seat``: numbers in [0, 1) from each dish's key, the turn and the customer."""
+    salt = mix(np.array([turn], np.uint64))[0]
+    return lambda dishes, k: (mix(keys[dishes] ^ salt ^ mix(np.array([k << 8], np.uint64))[0]) >> np.uint64(11)) / float(1 << 53)
+
+
+def seat(c: np.ndarray, p0: np.ndarray, theta: np.ndarray, d: float, tables: np.ndarray, draw, grow: bool = False) -> np.ndarray:
     """Tables of each dish after its ``c`` customers sit down one after another: a new table is opened with
     odds (theta + d * tables) * p0 against customers so far - d * own tables. From the 200th on, customers come in
-    groups of a hundredth of those before. ``grow``: ``tables`` are those of other dishes, own ones are added."""
+    groups of a hundredth of those before, which open the expected number of tables, rounded up or down by chance.
+    ``draw(dishes, k)``: uniform numbers. ``grow``: ``tables`` are those of other dishes, own ones are added."""
     t = np.minimum(c, 1).astype(np.int64)
     a, more = (theta + d * tables) * p0, d * p0 if grow else np.zeros(c.size)
     alive, k = np.flatnonzero(c > 1), 1
@@ -328,10 +327,10 @@ def seat(c: np.ndarray, p0: np.ndarray, theta: np.ndarray, d: float, tables: np.
         m = np.minimum(step, c[alive] - k)
         new = a[alive] + more[alive] * t[alive]
         prob = new / (new + np.maximum(k - d * t[alive], 1e-9))
-        t[alive] += rng.binomial(m, np.clip(prob, 0, 1))
+        t[alive] += np.floor(m * np.clip(prob, 0, 1) + draw(alive, k)).astype(np.int64)
         k += step
         alive = alive[c[alive] > k]
-    return t
+    return np.minimum(t, c)
 
 
 class LetterModel:
@@ -339,7 +338,6 @@ class LetterModel:
 
     def __init__(self, key: np.ndarray, count: np.ndarray, s: Settings):
         """``key``: sorted distinct cells of the longest contexts, ``count``: their customers."""
-        rng = np.random.default_rng(s.seed)
         shifts = np.cumsum((0, *BITS))
         self.keys, up, ctx = [key], [], []
         for level in range(len(BITS), 0, -1):  # a parent's context keeps the lower bits
@@ -373,7 +371,7 @@ class LetterModel:
             for j in range(n):
                 base = prob[j + 1][up[j]] if j + 1 < n else np.full(self.keys[j].size, 1 / 256)
                 room = ctx[j][1]
-                t[j] = seat(customers[j], base, theta[j], d[j], np.bincount(room, t[j], ctx[j][0].size)[room], rng)
+                t[j] = seat(customers[j], base, theta[j], d[j], np.bincount(room, t[j], ctx[j][0].size)[room], uniform(mix(self.keys[j].astype(np.uint64)), s.seed << 16 | sweep << 4 | j))
                 if j + 1 < n:
                     customers[j + 1] = np.bincount(up[j], t[j], self.keys[j + 1].size).astype(np.int64)
                     t[j + 1] = np.minimum(np.maximum(t[j + 1], np.minimum(customers[j + 1], 1)), customers[j + 1])
@@ -432,17 +430,18 @@ class Sums:
     known: float
 
 
-def sit(v: Vocabulary, log0, t2, t1, all_t, n: Totals, sums: Sums, s: Settings, rng) -> tuple[np.ndarray, np.ndarray]:
+def sit(v: Vocabulary, log0, t2, t1, all_t, n: Totals, sums: Sums, s: Settings, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """(tables of pairs, tables of words) of the next sweep. A pair's customers leave, and their tables leave the
     restaurant of words; they sit down again given all others, then the words' customers do."""
-    word, p0 = v.word, np.exp(log0)
+    word, p0, salt = v.word, np.exp(log0), v.salt.astype(np.uint64)
     c1 = np.bincount(word, t2, v.size.size).astype(np.int64)
     left = c1[word] - t2
     fall = (s.theta + n.d_word * sums.word_tables) / (s.theta + sums.customers - t2)
     parent = np.maximum(left - n.d_word * np.minimum(t1[word], left), 0) / (s.theta + sums.customers - t2) + fall * p0[word]
-    t2 = seat(v.count, parent, s.theta, n.d_pair, all_t[v.context] - t2, rng, grow=True)
+    draw = uniform(mix(v.contexts)[v.context] ^ salt[word], turn)
+    t2 = seat(v.count, parent, s.theta, n.d_pair, all_t[v.context] - t2, draw, grow=True)
     c1 = np.bincount(word, t2, v.size.size).astype(np.int64)
-    return t2, seat(c1, p0, s.theta, n.d_word, sums.word_tables - t1, rng, grow=True)
+    return t2, seat(c1, p0, s.theta, n.d_word, sums.word_tables - t1, uniform(mix(salt), turn), grow=True)
 
 
 def predictive(v: Vocabulary, log0, t2, t1, all_c, all_t, n: Totals, sums: Sums, s: Settings) -> np.ndarray:
@@ -456,18 +455,21 @@ def predictive(v: Vocabulary, log0, t2, t1, all_c, all_t, n: Totals, sums: Sums,
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity
+    (10 to the power of -score / n_tokens).
 
     Rows whose crc32 of the id as text is ``held_out`` modulo ``fold`` are scored but not learnt from (``fold`` 0:
     none). Null and empty texts are one end token; a null id counts as empty text; repeated rows count each; an
-    empty table gives an empty table; with nothing to learn from, every token is unseen. Other columns are ignored.
+    empty table gives an empty table; texts of any length are read whole; with nothing to learn from, every token is
+    unseen. Other columns are ignored.
     """
     s = settings
     kind = dict(df.dtypes)[id_col]
-    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ranges = int(min(max(4, -(-read // s.range_bytes)), 1 << 16))
-    store = materialize(cut_chunks(df, id_col, text_col, ranges, s), "lm-chunks")
-    merged = materialize(merge_ranges(store), "lm-ranges")
+    size = df.agg(F.sum(F.octet_length(df[text_col].cast("string")).cast("long"))).first()[0] or 0
+    ranges = max(4, -(-size // s.range_bytes))
+    pairs, texts = materialize_by(cut_chunks(df, id_col, text_col, ranges, s), "lm-chunks", "texts", [0, 1])
+    merged = materialize(merge_ranges(pairs), "lm-ranges")
+    discard(pairs)
     vocabulary = merged.where("chunk is null")
 
     def tally(batches):
@@ -500,10 +502,11 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 v = Vocabulary.of(row)
                 t2 = np.minimum(v.count, 1)
                 t1 = np.minimum(np.bincount(v.word, t2, v.size.size), 1)
-                log0 = shared.value.model.word_log(v.data, v.size)
+                log0 = shared.value.model.word_log(v.data, v.size).astype(np.float32).astype(float)
                 known = float(np.exp(log0)[v.word_count > 0].sum())
                 sums = np.array([[t2.sum(), t1.sum(), known]] * chains, float)
                 yield part_batch([seats_row(row["part"], log0, [t2] * chains, [t1] * chains), (row["part"], None, 0, 0, SUMS, pack(sums), *[None] * 4), *ask(row["part"], v, [t2] * chains, ranges)]).combine_chunks().to_batches()[0]
+                trim()
 
     def totals(seats: DataFrame) -> list[Sums]:
         got = sorted((r["part"], bytes(r["a"])) for r in seats.where(f"k = {SUMS}").select("part", "a").toLocalIterator())
@@ -516,17 +519,23 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     pairs_only = vocabulary.withColumn("a", F.lit(None).cast("binary"))
     seats = materialize(vocabulary.mapInArrow(first, PART), "lm-seats")
     state = totals(seats)
-    for turn in range(s.rounds):
+
+    def sweeper(turn: int, state: list[Sums]):
         def sweep(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
-            part, rng = rows[0]["part"], np.random.default_rng([s.seed, turn, rows[0]["part"]])
+            part = rows[0]["part"]
             v, log0, t2, t1, _, all_t = gathered(rows, chains)
-            new = [sit(v, log0, t2[k], t1[k], all_t[k], shared.value, state[k], s, rng) for k in range(chains)]
+            new = [sit(v, log0, t2[k], t1[k], all_t[k], shared.value, state[k], s, s.seed << 16 | turn << 8 | k) for k in range(chains)]
             known = np.exp(log0)[v.word_count > 0].sum()
             sums = np.array([[a.sum(), b.sum(), known] for a, b in new], float)
+            trim()
             return part_batch([seats_row(part, log0, [a for a, _ in new], [b for _, b in new]), (part, None, 0, 0, SUMS, pack(sums), *[None] * 4), *ask(part, v, [a for a, _ in new], ranges)])
 
-        seats = materialize(pairs_only.unionByName(asked(seats)).groupBy("part").applyInArrow(sweep, PART), "lm-seats")
+        return sweep
+
+    for turn in range(s.rounds):
+        before, seats = seats, materialize(pairs_only.unionByName(asked(seats)).groupBy("part").applyInArrow(sweeper(turn, state), PART), "lm-seats")
+        discard(before)
         state = totals(seats)
 
     def back(table: pa.Table) -> pa.Table:
@@ -534,13 +543,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         rows, n = table.to_pylist(), shared.value
         v, log0, t2, t1, all_c, all_t = gathered(rows, chains)
         p = sum(predictive(v, log0, t2[k], t1[k], all_c, all_t[k], n, state[k], s) for k in range(chains))
-        log = np.log10(np.maximum(p / chains, 1e-300)).astype(np.float32)
-        count = v.word_count[v.word].astype(np.uint32)
+        log = np.rint(np.clip(-np.log10(np.maximum(p / chains, 1e-300)), 0, 65535 / STEP) * STEP).astype(np.uint16)
+        count = v.word_count.astype(np.uint32)
         out = []
         for r in rows:
             if r["chunk"] is not None and r["k"] == 0:
-                k = unpack_steps(r["a"], np.uint32, r["m"])
-                out.append((r["part"], r["chunk"], 0, r["m"], 0, pack(log[k]), pack(count[k]), *[None] * 3))
+                out.append((r["part"], r["chunk"], r["n"], r["m"], 0, pack(log[unpack_steps(r["a"], np.uint32, r["m"])]), pack(count[unpack_steps(r["b"], np.uint32, r["n"])]), *[None] * 3))
+        del v, t2, p, rows
+        trim()
         return part_batch(out)
 
     rest = merged.where("chunk is not null").unionByName(pairs_only).unionByName(asked(seats))
@@ -549,13 +559,17 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     def finish(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
         rows = sorted(table.drop_columns("ids").to_pylist(), key=lambda r: r["part"])
-        texts, rest, n = rows[0], rows[1:], shared.value
-        log = np.concatenate([unpack(r["a"], np.float32, r["m"]) for r in rest]).astype(np.float64)
-        count = np.concatenate([unpack(r["b"], np.uint32, r["m"]) for r in rest])
-        docs = texts["n"]
-        stream, size, held = unpack(texts["a"], np.uint32, texts["m"]), unpack(texts["b"], np.uint32, docs).astype(np.int64), unpack(texts["c"], np.uint8, docs)
+        own, rest, n = rows[0], rows[1:], shared.value
+        log = np.concatenate([unpack(r["a"], np.uint16, r["m"]) for r in rest]).astype(np.float64) / -STEP
+        count = np.concatenate([unpack(r["b"], np.uint32, r["n"]) for r in rest])
+        docs = own["n"]
+        stream, size, held = unpack(own["a"], np.uint32, own["m"]).astype(np.int64), unpack(own["b"], np.uint32, docs).astype(np.int64), unpack(own["c"], np.uint8, docs)
         cut, base = np.cumsum(size) - size, np.log10((count.astype(np.float64) + 1) / (n.tokens + n.types + 1))
-        return pa.table({id_col: ids.flatten(), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((count > 0)[stream].astype(np.int64), cut)), "train_tokens": pa.array(np.full(docs, n.tokens, np.int64)), "base_score": pa.array(np.add.reduceat(base[stream], cut)), "score": pa.array(np.add.reduceat(log[stream], cut))})
-
-    rows = store.where("part = -1").unionByName(returned.withColumn("ids", F.lit(None).cast(f"array<{kind}>")))
-    return rows.groupBy("chunk").applyInArrow(finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        score = np.add.reduceat(log[np.unique(pairs_of(stream, size), return_inverse=True)[1]], cut)
+        out = pa.table({id_col: ids.flatten(), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((count > 0)[stream].astype(np.int64), cut)), "train_tokens": pa.array(np.full(docs, n.tokens, np.int64)), "base_score": pa.array(np.add.reduceat(base[stream], cut)), "score": pa.array(score), "perplexity": pa.array(10 ** (-score / size))})
+        del rows, rest, log, stream
+        trim()
+        return out
+
+    rows = texts.unionByName(returned.withColumn("ids", F.lit(None).cast(f"array<{kind}>")))
+    return rows.groupBy("chunk").applyInArrow(finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

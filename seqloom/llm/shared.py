@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -44,12 +45,49 @@ class Shared:
         return {"_sent": self._sent, "_value": None}
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Shuffle files of the actions within go when these end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def _table(spark: SparkSession, schema, path: str) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out.table_path = path
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.table_path = path
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    return _table(df.sparkSession, df.schema, path)
+
+
+def materialize_by(df: DataFrame, name: str, key: str, values: list[int]) -> list[DataFrame]:
+    """As ``materialize``, with a table (without ``key``) for each value of the integer column ``key``."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    with shuffles_freed(spark):
+        df.write.partitionBy(key).parquet(path)
+    schema, whole = df.drop(key).schema, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system, out = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    for v in values:
+        part = f"{path}/{key}={v}"
+        if not system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)):
+            spark.createDataFrame([], schema).write.parquet(part)
+        out.append(_table(spark, schema, part))
     return out
 
 

@@ -1,7 +1,6 @@
 """URL filters: host and path rules, and boosted trees on lexical features where no rule fits."""
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import strings
+from .shared import materialize
+from .textkit import slices, strings
 
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_params", "has_fragment", "hyphens", "last_label_rate", "last_two_rate")
 
@@ -41,13 +41,18 @@ def apply_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return name, verdict
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+def suffixes(host: Column) -> tuple[Column, Column]:
+    """(last label, last two labels)."""
+    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
 
 
-def features(url, host, path, rates: dict[str, float], prior: float) -> np.ndarray:
-    """A row of FEATURES per url (Arrow string columns)."""
+def smoothed(blocked, n, prior: float):
+    """Share of blocked urls, with five more at the prior; the prior where there are none."""
+    return (blocked + 5 * prior) / (n + 5)
+
+
+def features(url, host, path, rates: np.ndarray) -> np.ndarray:
+    """A row of FEATURES per url (Arrow string columns; ``rates`` are the last two)."""
     data, off = strings(url)
     n, size = off.size - 1, np.diff(off)
     row = np.repeat(np.arange(n), size)
@@ -61,10 +66,8 @@ def features(url, host, path, rates: dict[str, float], prior: float) -> np.ndarr
     hdata, hoff = strings(host)
     depth = np.bincount(np.repeat(np.arange(n), np.diff(poff))[pdata == 47], minlength=n)
     labels = np.bincount(np.repeat(np.arange(n), np.diff(hoff))[hdata == 46], minlength=n) + 1
-    ends = [suffixes(h or "") for h in host.to_pylist()]
-    rate = np.array([[rates.get(a, prior), rates.get(b, rates.get(a, prior))] for a, b in ends], float).reshape(n, 2)
     params = count(data == 38) + count(data == 61)
-    return np.column_stack([size, np.diff(hoff), np.diff(poff), depth, labels, count((data >= 48) & (data <= 57)) / np.maximum(size, 1), entropy, params, count(data == 35) > 0, count(data == 45), rate]).astype(float)
+    return np.column_stack([size, np.diff(hoff), np.diff(poff), depth, labels, count((data >= 48) & (data <= 57)) / np.maximum(size, 1), entropy, params, count(data == 35) > 0, count(data == 45), rates]).astype(float)
 
 
 class BoostedTrees:
@@ -123,57 +126,82 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
+_COUNTS = ("k1", "n1", "k2", "n2")
+
+
+def _rates(b, prior: float, own=None) -> np.ndarray:
+    """Rates of the last label and of the last two from their counts; without counts of two, that of one. ``own``:
+    labels of the urls themselves, to be left out."""
+    k1, n1, k2, n2 = (np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in _COUNTS)
+    if own is not None:
+        k1, n1, k2, n2 = k1 - own, n1 - 1, k2 - own, n2 - 1
+        return np.column_stack([smoothed(k1, n1, prior), smoothed(k2, n2, prior)])
+    one = smoothed(k1, n1, prior)
+    return np.column_stack([one, np.where(n2 > 0, smoothed(k2, n2, prior), one)])
+
+
 @dataclass
 class UrlModel:
     trees: BoostedTrees
-    rates: dict[str, float]
     prior: float
 
-    def blocked(self, url, host, path) -> np.ndarray:
-        return self.trees.predict(features(url, host, path, self.rates, self.prior))
+    def blocked(self, b) -> np.ndarray:
+        """Probability for each row of a batch with ``url, host, path`` and the counts of its suffixes."""
+        return self.trees.predict(features(b.column("url"), b.column("host"), b.column("path"), _rates(b, self.prior)))
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """``suffix, blocked, n`` over all distinct labelled urls (``host, block``); any number of suffixes."""
+    one, two = suffixes(F.col("host"))
+    rows = labelled.select(F.explode(F.array_distinct(F.array(one, two))).alias("suffix"), "block")
+    return rows.groupBy("suffix").agg(F.sum("block").alias("blocked"), F.count("*").alias("n"))
+
+
+def with_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add the counts of both suffixes of ``host`` (null: none)."""
+    for k, suffix in enumerate(suffixes(F.col("host")), 1):
+        own = counts.select(F.col("suffix").alias(f"s{k}"), F.col("blocked").alias(f"k{k}"), F.col("n").alias(f"n{k}"))
+        rows = rows.join(own, suffix == F.col(f"s{k}"), "left").drop(f"s{k}")
+    return rows
 
 
-def train_url_model(labelled: DataFrame, max_rows: int = 20_000) -> UrlModel:
-    """Fit on ``url, host, path, verdict`` rows: a sample of ``max_rows`` at most, by hash of the url.
+def train_url_model(labelled: DataFrame, counts: DataFrame, max_rows: int = 20_000) -> UrlModel:
+    """Fit on distinct ``url, host, path, block`` rows: a sample of ``max_rows`` urls at most, by hash of the url.
 
-    Suffix rates leave the row itself out, so that a suffix seen once says nothing of itself.
+    Suffix rates are those of all labelled urls, without the url itself, so that a suffix seen once says nothing of
+    itself; the prior is that of all labelled urls, too.
     """
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows).toArrow()
-    y = np.array([v == "block" for v in rows.column("verdict").to_pylist()], float)
-    prior = float((y.sum() + 0.5) / (len(y) + 1))
-    seen = defaultdict(lambda: [0.0, 0])
-    ends = [suffixes(h or "") for h in rows.column("host").to_pylist()]
-    for pair, label in zip(ends, y):
-        for s in set(pair):
-            seen[s][0] += label
-            seen[s][1] += 1
-    smooth = lambda k, n: (k + 5 * prior) / (n + 5)
-    rates = {s: smooth(k, n) for s, (k, n) in seen.items()}
-    x = features(rows.column("url"), rows.column("host"), rows.column("path"), rates, prior)
-    for i, (pair, label) in enumerate(zip(ends, y)):
-        x[i, -2:] = [smooth(seen[s][0] - label, seen[s][1] - 1) for s in pair]
-    return UrlModel(BoostedTrees().fit(x, y), rates, prior)
+    total = labelled.agg(F.sum("block").alias("k"), F.count("*").alias("n")).first()
+    prior = float(((total["k"] or 0) + 0.5) / (total["n"] + 1))
+    rows = with_counts(labelled.orderBy(F.xxhash64("url"), "url").limit(max_rows), counts).orderBy("url").toArrow()
+    y = rows.column("block").to_numpy().astype(float)
+    x = features(rows.column("url"), rows.column("host"), rows.column("path"), _rates(rows.combine_chunks().to_batches()[0], prior, y)) if y.size else np.zeros((0, len(FEATURES)))
+    return UrlModel(BoostedTrees().fit(x, y), prior)
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, max_rows: int = 20_000) -> DataFrame:
     """One row per row of ``df``: id, host, path, rule, verdict, block_probability.
 
-    A rule's verdict stands; elsewhere the trees, trained on the urls that rules label, block from ``threshold``
-    on. Without labelled urls the prior decides (allow). Null urls have empty host and path; repeated rows get
-    the same verdict; an empty table gives an empty table; other columns are ignored.
+    A rule's verdict stands; elsewhere the trees, trained on the distinct urls that rules label, block from
+    ``threshold`` on. Without labelled urls the prior decides (allow). Null and empty urls have empty host and path;
+    very long ones are read whole; repeated rows get the same verdict and count once in training; an empty table
+    gives an empty table; other columns are ignored.
     """
     host, path = split_url(df[url_col])
     rows = df.select(df[id_col].alias("id"), F.coalesce(df[url_col].cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
-    model = train_url_model(rows.where("verdict is not null").select("url", "host", "path", "verdict"), max_rows)
+    labelled = rows.where("verdict is not null").groupBy("url", "host", "path").agg(F.max((F.col("verdict") == "block").cast("int")).alias("block"))
+    labelled = materialize(labelled, "url-labelled")
+    counts = materialize(suffix_counts(labelled), "url-suffixes")
+    model = train_url_model(labelled, counts, max_rows)
 
     def run(batches):
-        for b in batches:
-            p = model.blocked(b.column("url"), b.column("host"), b.column("path"))
+        for b in slices(batches, "url"):
+            p = model.blocked(b)
             by_model = np.where(p >= threshold, "block", "allow").tolist()
             verdict = [v or m for v, m in zip(b.column("verdict").to_pylist(), by_model)]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), b.column("path"), b.column("rule"), pa.array(verdict, pa.string()), pa.array(p)], names=names)
 
     names = [id_col, "host", "path", "rule", "verdict", "block_probability"]
-    return rows.mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, host string, path string, rule string, verdict string, block_probability double")
+    return with_counts(rows, counts).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, host string, path string, rule string, verdict string, block_probability double")

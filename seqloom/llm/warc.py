@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, shared_dir
+from .textkit import trim
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER = b"\x1f\x8b\x08"
@@ -231,25 +232,37 @@ def write_archives(df: DataFrame, out_dir: str, id_col: str = "page_id", url_col
 RECORDS = "path string, offset long, gap_end long, gap_reason string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def _rows(path: str, data: bytes, payloads: bool):
+def _rows(path: str, data: bytes, payloads: bool, most: int = 16 << 20):
+    """Record batches of an archive's rows, about ``most`` bytes of payload (or 4,096 rows) each."""
     page = lambda x: int(m[1]) if (m := re.search(r"urn:page:(-?\d+)", x or "")) else None
-    cols = [[] for _ in range(11)]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+
+    def batch(rows):
+        cols = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+
+    rows, size = [], 0
     for r in salvage(data):
         if isinstance(r, Gap):
-            row = (path, r.start, r.end, r.reason, None, None, None, None, None, None, None)
+            rows.append((path, r.start, r.end, r.reason, None, None, None, None, None, None, None))
         else:
             h, revisit = r.headers, r.headers.get("warc-type") == "revisit"
             stated = h.get("warc-payload-digest", "").removeprefix("sha1:")
-            row = (path, r.offset, None, None, page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), r.payload_length if revisit else len(r.payload), stated if revisit else base32_sha1(r.payload), page(h.get("warc-refers-to")), r.payload if payloads and not revisit else None)
-        for c, v in zip(cols, row):
-            c.append(v)
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    names = [x.split()[0] for x in RECORDS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+            payload = r.payload if payloads and not revisit else None
+            rows.append((path, r.offset, None, None, page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), r.payload_length if revisit else len(r.payload), stated if revisit else base32_sha1(r.payload), page(h.get("warc-refers-to")), payload))
+            size += len(payload or b"")
+        if size >= most or len(rows) >= 4096:
+            yield batch(rows)
+            rows, size = [], 0
+    yield batch(rows)
 
 
 def read_archives(manifest: DataFrame, out_dir: str, payloads: bool = False) -> DataFrame:
-    """Rows of the archives in a manifest: records, and gaps (``gap_end`` set) that were quarantined."""
+    """Rows of the archives in a (materialised) manifest: records, and gaps (``gap_end`` set) that were quarantined.
+
+    A task for each archive: it holds one file, which rolls at a bounded size, and a bounded batch of rows.
+    """
     def run(batches):
         from pyarrow import fs
 
@@ -257,18 +270,20 @@ def read_archives(manifest: DataFrame, out_dir: str, payloads: bool = False) ->
         for b in batches:
             for path in b.column(0).to_pylist():
                 with store.open_input_stream(path, compression=None) as f:
-                    yield _rows(path, f.read(), payloads)
+                    yield from _rows(path, f.read(), payloads)
+        trim()
 
-    files = manifest.select("path")
-    return files.repartition(F.col("path")).mapInArrow(run, RECORDS)
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, RECORDS)
 
 
 def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
-    """The same for any files that Spark can read (``path`` may be a glob)."""
+    """The same for any files that Spark can read (``path`` may be a glob); each is read whole by one task. Empty files
+    have no rows; damage is a gap; a file of no records is one gap."""
     def run(batches):
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1)):
-                yield _rows(p, c.as_py(), payloads)
+                yield from _rows(p, c.as_py(), payloads)
+        trim()
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 

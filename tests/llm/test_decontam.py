@@ -52,7 +52,42 @@ def test_pruning_loses_nothing():
 
 def test_scores_are_bm25_shares():
     index = Index([1, 2], ["alpha beta gamma.", "alpha delta epsilon."], S)
-    assert index.scores(np.arange(index.vocab.size)).round(5).tolist() == [1, 1]
+    seg, score, _ = index.matches(np.arange(index.vocab.size))
+    assert seg.tolist() == [0, 1] and score.round(5).tolist() == [1, 1]
+
+
+def test_blocks_are_skipped():
+    """A block that cannot reach the threshold is never read, though it holds postings of the passage's terms."""
+    rng = np.random.default_rng(9)
+    items = [" ".join(f"v{x}" for x in rng.zipf(1.3, 40) % 5000) for _ in range(200)]
+    index = Index(list(range(200)), items, S)
+    terms = np.unique(np.searchsorted(index.vocab, words(pa.array([items[7]]), lower=True, sep=NON_ALNUM).hash))
+    every = sum(index.run_start[index.first[t + 1]] - index.run_start[index.first[t]] for t in terms)
+    seg, score, read = index.matches(terms)
+    assert 7 in index.seg_item[seg] and 0 < read < every / 2
+
+
+def test_scattered_words_are_no_leak(spark):
+    """Question and answer stand in the text, but far from the passage that was retrieved: no copy of the item."""
+    rng = np.random.default_rng(10)
+    fresh = lambda n, k: [f"{k}{x}" for x in rng.integers(0, 10**6, n)]
+    item = fresh(30, "q") + ["end."] + fresh(20, "a")
+    grams = [item[k : k + 3] for k in range(0, 48, 3)]
+    far = " ".join(" ".join([*g, *fresh(400, "x")]) for g in grams)
+    near = " ".join([*fresh(300, "y"), *item, *fresh(300, "z")])
+    docs = spark.createDataFrame([(1, far), (2, near)], "doc_id long, text string")
+    got = find_leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).where("leaked").collect()
+    assert [r["doc_id"] for r in got] == [2]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = np.random.default_rng(11)
+    item = text(rng, 60)
+    docs = spark.createDataFrame([(1, text(rng, 60_000) + " " + item + " " + text(rng, 60_000), "a", "b"), (2, "short", "a", "b"), (2, "short", "a", "b")], "doc_id long, text string, item_id string, leaked string")
+    items = spark.createDataFrame([(1, item, 9)], "item_id long, text string, doc_id int")
+    assert [(r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).where("leaked").collect()] == [(1, 1)]
+    kept = drop_leaks(docs, items)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2, 2]
 
 
 @pytest.mark.parametrize("item, q, a", [("One two three. Four five six.", "One two three. ", "Four five six."), ("one two three four five six", "one two three four", "five six"), ("", "", "")])

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from seqloom.llm import queries
-from seqloom.llm.pitman_yor import BITS, LetterModel, Settings, letter_cells, score_texts, seat
+from seqloom.llm.pitman_yor import BITS, LetterModel, Settings, letter_cells, score_texts, seat, uniform
 
 
 def tokens(text):
@@ -34,10 +34,12 @@ def test_query(spark, sf_dir):
 def test_chunks_and_ranges_do_not_matter(spark):
     rows = [(i, " ".join(f"w{i * k % 17}x" for k in range(i % 50))) for i in range(80)] + [(90, None), (91, ""), (None, "w1x w2x"), (4, "w1x"), (95, "Straße \x1c a\x00b " * 50)]
     df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
-    a, b = score_texts(df).collect(), score_texts(df.repartition(7), settings=Settings(chunk_words=100)).collect()
+    a, b = score_texts(df).collect(), score_texts(df.repartition(7), settings=Settings(chunk_words=100, range_bytes=300)).collect()
     check_base(rows, a)
     key = lambda r: (str(r["doc_id"]), r["n_tokens"])
-    assert [(key(r), round(r["score"], 4)) for r in sorted(a, key=key)] == [(key(r), round(r["score"], 4)) for r in sorted(b, key=key)]
+    a, b = sorted(a, key=key), sorted(b, key=key)
+    assert [key(r) for r in a] == [key(r) for r in b] and all(abs(x["score"] - y["score"]) < 1e-3 for x, y in zip(a, b))
+    assert all(abs(r["perplexity"] - 10 ** (-r["score"] / r["n_tokens"])) < 1e-6 * r["perplexity"] for r in a)
     assert score_texts(df.limit(0)).count() == 0
     assert len(score_texts(df.where("doc_id = 5")).collect()) == 1
 
@@ -62,7 +64,10 @@ def test_cells_of_words():
 def test_seating():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 3000] * 200)
-    t = seat(c, np.full(c.size, 0.3), 1.0, 0.5, 10.0, rng)
+    draw = uniform(np.arange(c.size, dtype=np.uint64), 1)
+    some = draw(np.arange(c.size), 3)
+    assert abs(some.mean() - 0.5) < 0.05 and (some < 1).all() and not (some == draw(np.arange(c.size), 4)).any()
+    t = seat(c, np.full(c.size, 0.3), 1.0, 0.5, 10.0, draw)
     assert (t[c == 0] == 0).all() and (t[c == 1] == 1).all() and ((t <= c) & (t >= (c > 0))).all()
     exact = []
     for _ in range(400):
@@ -73,7 +78,7 @@ def test_seating():
             k += 1
         exact.append(own)
     assert abs(t[c == 50].mean() - np.mean(exact)) < 0.6
-    assert (seat(c, np.full(c.size, 0.0), 1.0, 0.5, 10.0, rng) == np.minimum(c, 1)).all()
+    assert (seat(c, np.full(c.size, 0.0), 1.0, 0.5, 10.0, draw) == np.minimum(c, 1)).all()
 
 
 def test_contexts_are_words_not_classes(spark):
@@ -84,3 +89,31 @@ def test_contexts_are_words_not_classes(spark):
     # half the words follow from the one before; a class of six preceding words leaves six to choose from
     limit = math.log10(1 / 400) + math.log10(0.5)
     assert sum(r["score"] for r in got) / sum((r["n_tokens"] - 1) / 2 for r in got) > limit - 0.15
+
+
+def test_probabilities_sum_to_one():
+    """After any context the words of the training texts and the one other outcome have all the probability."""
+    from seqloom.llm.pitman_yor import Sums, Totals, Vocabulary, predictive
+
+    rng = np.random.default_rng(5)
+    n, known = 30, 0.4
+    p0 = rng.random(n)
+    p0 *= known / p0.sum()
+    count = rng.integers(0, 9, (n, 2))  # words by context; each word has been seen
+    count[:, 0] += count.sum(1) == 0
+    t2 = np.minimum(count, rng.integers(1, 4, (n, 2)))
+    c1 = t2.sum(1)
+    t1 = np.minimum(c1, rng.integers(1, 3, n))
+    v = Vocabulary(None, np.ones(n, int), np.full(n, 2), np.zeros(n, np.uint32), np.zeros(2, np.uint64), np.tile([0, 1], n), count.ravel())
+    totals, sums = Totals(int(count.sum()), n, 0.6, 0.7, 2 * n, None), Sums(float(c1.sum()), float(t1.sum()), known)
+    p = predictive(v, np.log(p0), t2.ravel(), t1, count.sum(0), t2.sum(0), totals, sums, Settings()).reshape(n, 2)
+    fall = (1 + 0.6 * t1.sum()) / (1 + c1.sum())
+    other = (1 + 0.7 * t2.sum(0)) / (1 + count.sum(0)) * fall * (1 - known)
+    assert np.allclose(p.sum(0) + other, 1)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "word other " * 150_000), (2, "word other"), (3, "word")]
+    got = {r["doc_id"]: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), settings=Settings(fold=0)).collect()}
+    assert got[1]["n_tokens"] == 300_001 and got[1]["train_tokens"] == 300_001 + 3 + 2
+    assert got[1]["perplexity"] < 1.1 < got[3]["perplexity"]

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from seqloom.llm import queries
+from seqloom.llm import urls
 from seqloom.llm.urls import BoostedTrees, features, judge_urls
 
 
@@ -45,8 +46,8 @@ def test_edges(spark):
 
 
 def test_features():
-    x = features(pa.array(["http://a.b.com/x/y-1?p=1&q=2#z"]), pa.array(["a.b.com"]), pa.array(["/x/y-1"]), {"com": 0.25}, 0.5)[0]
-    assert x[0] == 30 and x[1] == 7 and x[2] == 6 and x[3] == 2 and x[4] == 3 and x[7] == 3 and x[8] == 1 and x[9] == 1 and list(x[10:]) == [0.25, 0.25]
+    x = features(pa.array(["http://a.b.com/x/y-1?p=1&q=2#z"]), pa.array(["a.b.com"]), pa.array(["/x/y-1"]), np.array([[0.25, 0.5]]))[0]
+    assert x[0] == 30 and x[1] == 7 and x[2] == 6 and x[3] == 2 and x[4] == 3 and x[7] == 3 and x[8] == 1 and x[9] == 1 and list(x[10:]) == [0.25, 0.5]
     assert abs(x[5] - 3 / 30) < 1e-12
 
 
@@ -70,3 +71,29 @@ def test_learns_held_out():
     t = BoostedTrees().fit(x[:1500], y[:1500])
     assert ((t.predict(x[1500:]) >= 0.5) == y[1500:]).mean() > 0.95
     assert BoostedTrees().fit(np.zeros((0, 4)), np.zeros(0)).predict(x[:3]).tolist() == [0.5] * 3
+
+
+def test_suffix_counts_are_those_of_all_distinct_urls(spark):
+    rows = [(1, "h://a.b.com/x", "a.b.com", 1), (2, "h://b.com/x", "b.com", 0), (3, "h://com/", "com", 1), (4, "h:///", "", 0)]
+    df = spark.createDataFrame(rows, "id long, url string, host string, block int")
+    got = {r["suffix"]: (r["blocked"], r["n"]) for r in urls.suffix_counts(df).collect()}
+    assert got == {"com": (2, 3), "b.com": (1, 2), "": (0, 1)}
+    back = {r["id"]: (r["k1"], r["n1"], r["k2"], r["n2"]) for r in urls.with_counts(df, urls.suffix_counts(df)).collect()}
+    assert back[1] == (2, 3, 1, 2) and back[3] == (2, 3, 2, 3)
+
+
+def test_hot_url_is_one_row_of_the_sample(spark, monkeypatch):
+    rows = [(i, "h://x.com/en/hot") for i in range(400)] + [(400 + i, f"h://x{i}.net/de/{i}") for i in range(30)] + [(430 + i, f"h://y{i}.com/en/{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    seen = []
+    fit = BoostedTrees.fit
+    monkeypatch.setattr(BoostedTrees, "fit", lambda self, x, y: (seen.append(len(y)), fit(self, x, y))[1])
+    got = judge_urls(df, queries.URL_RULES, max_rows=50).collect()
+    assert seen == [50] and len(got) == 460 and {r["verdict"] for r in got if r["page_id"] < 400} == {"block"}
+
+
+def test_very_long_url_and_repeated_rows(spark):
+    long = "h://example.com/en/8" + "/x1" * 700_000
+    df = spark.createDataFrame([(1, long), (2, long), (2, long), (3, "h://a.org/x")], "page_id long, url string")
+    got = judge_urls(df, queries.URL_RULES).collect()
+    assert len(got) == 4 and all(r["verdict"] == "block" and r["rule"] == "com/en/" for r in got if r["page_id"] < 3)

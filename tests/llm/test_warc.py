@@ -94,3 +94,18 @@ def test_digests_in_lower_case_or_hex():
         i = head.lower().index(b"warc-block-digest")
         changed = head[:i] + head[i:].replace(own, other, 1)
         assert other in changed and isinstance(next(iter(salvage(changed + b"\r\n\r\n" + body))), Record)
+
+
+def test_very_long_payloads_and_bounded_batches():
+    big = b"x" * (1 << 20)
+    data = b"".join(record_bytes(i, f"http://x/{i}", big, base32_sha1(big)) for i in range(5))
+    got = list(warc._rows("p", data, True, most=2 << 20))
+    assert [b.num_rows for b in got] == [2, 2, 1] and all(r["payload"] == big for b in got for r in b.to_pylist())
+
+
+def test_read_back_has_a_task_for_each_archive(spark):
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string").repartition(5)
+    out = warc.shared_dir(spark, "warc")
+    manifest = warc.write_archives(df, out)
+    rows = warc.read_archives(manifest, out)
+    assert rows.rdd.getNumPartitions() == manifest.count() and rows.count() == 40
