@@ -1,6 +1,6 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each preceding word (known by 48 bits of its hash) is a context with a restaurant of its own; all of them share the
+Each preceding word (known by 40 bits of its hash) is a context with a restaurant of its own; all of them share the
 restaurant of words as their parent; a word's first table there asks its letters, which sit in restaurants for
 contexts of up to three letters, where a context's parent is the context without its oldest letter. Seatings are
 drawn by blocked sweeps: all customers of a dish leave their restaurant and sit down again one after another, given
@@ -37,7 +37,7 @@ from .textkit import crc_rows, mix, pack, pack_steps, slices, span_hash, trim, u
 BITS = (7, 5, 5)
 END = 0x20  # of a word; no letter of a word
 START = 0  # stands before a word
-BEGIN = np.uint64(0)  # context at the start of a text; else 48 bits of the preceding word's hash
+BEGIN = np.uint64(0)  # context at the start of a text; else the first 40 bits of the preceding word's hash
 #: Steps of log10 of a probability that are sent back to a chunk: 1 / 2048.
 STEP = 2048
 _PAIR = np.int64(32)  # a pair is word number << 32 | context number
@@ -48,7 +48,7 @@ class Settings:
     fold: int = 7
     held_out: int = 2
     chunk_words: int = 800_000
-    range_bytes: int = 16 << 20  # bytes of text behind each hash range
+    range_bytes: int = 10 << 20  # bytes of text behind each hash range
     sweeps: int = 12  # of the letters' restaurants
     rounds: int = 3  # sweeps of words and contexts, each given the seats of the one before
     samples: int = 3
@@ -125,13 +125,13 @@ class Chunk:
         size, data = np.concatenate(self.size), np.concatenate(self.letters)
         offset = np.cumsum(size) - size
         word, before = pairs >> _PAIR, pairs & 0xFFFFFFFF
-        part, context = range_of(own, ranges), np.concatenate([[BEGIN], own >> np.uint64(16)])
+        part, context = range_of(own, ranges), np.concatenate([[BEGIN], own >> np.uint64(24)])
         for p in np.unique(part):
             a, b = np.searchsorted(part, [p, p + 1])
             i, j = np.searchsorted(word, [a, b])
             used, local = np.unique(before[i:j], return_inverse=True)
-            # places of contexts follow their 48 bits, as words' numbers follow their hashes
-            v = Vocabulary(take_letters(data, offset[at[a:b]], size[at[a:b]]), size[at[a:b]], np.bincount(word[i:j] - a, minlength=b - a), own[a:b].astype(np.uint32), context[used], local, total[i:j])
+            # places of contexts follow their bits, as words' numbers follow their hashes
+            v = Vocabulary(take_letters(data, offset[at[a:b]], size[at[a:b]]), size[at[a:b]], np.bincount(word[i:j] - a, minlength=b - a), np.zeros(b - a, np.uint32), context[used], local, total[i:j])
             yield int(p), *v.row()
         yield -1, length.size, stream.size, own.size, pack(stream), pack(length.astype(np.uint32)), pack(held.astype(np.uint8)), b"", b""
 
@@ -186,18 +186,18 @@ class Vocabulary:
     data: np.ndarray
     size: np.ndarray
     pairs: np.ndarray  # of each word
-    salt: np.ndarray  # of each word, 32 bits of its hash
+    salt: np.ndarray  # of each word, 32 bits of its hash; zeros in a chunk
     contexts: np.ndarray
     context: np.ndarray  # of each pair, its place in ``contexts``
     count: np.ndarray
 
     @classmethod
-    def of(cls, row) -> Vocabulary:
-        """Of a row of PART; without letters where these were left out."""
+    def of(cls, row, kind=np.int64) -> Vocabulary:
+        """Of a row of PART, pairs as numbers of ``kind``; without letters where these were left out."""
         n, m = row["n"], row["m"]
         size, pairs, salt = unpack(row["b"], np.uint32, 3 * n).reshape(3, n)
         data = np.zeros(0, np.uint8) if row["a"] is None else unpack(row["a"], np.uint8, int(size.sum()))
-        return cls(data, size.astype(np.int64), pairs.astype(np.int64), salt, unpack_steps(row["c"], np.uint64, row["k"]), unpack_steps(row["d"], np.uint32, m).astype(np.int64), unpack(row["e"], np.uint32, m).astype(np.int64))
+        return cls(data, size.astype(np.int64), pairs.astype(np.int64), salt, unpack_steps(row["c"], np.uint64, row["k"]), unpack_steps(row["d"], np.uint32, m).astype(kind), unpack(row["e"], np.uint32, m).astype(kind))
 
     def row(self) -> tuple:
         sizes = np.concatenate([self.size.astype(np.uint32), self.pairs.astype(np.uint32), self.salt])
@@ -216,16 +216,22 @@ def merge_ranges(store: DataFrame) -> DataFrame:
     """One row a range with its words and pairs (chunk null), and one for each chunk with its words' and pairs' numbers."""
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        part, every = rows[0]["part"], [Vocabulary.of(r) for r in rows]
+        part, every = rows[0]["part"], []
+        for r in rows:
+            every.append(Vocabulary.of(r, np.uint32))
+            for c in "abcde":
+                del r[c]
         hashes = np.concatenate([letters_hash(v.data, v.size) for v in every])
         own, at, number = np.unique(hashes, return_index=True, return_inverse=True)
         contexts, place = np.unique(np.concatenate([v.contexts for v in every]), return_inverse=True)
-        w, c, keys = 0, 0, []
+        w, c, n, keys = 0, 0, 0, np.zeros(sum(v.count.size for v in every), np.int64)
         for v in every:
-            keys.append(number[w + v.word] << _PAIR | place[c + v.context])
-            w, c = w + v.size.size, c + v.contexts.size
+            keys[n : n + v.count.size] = number[w + v.word] << _PAIR | place[c + v.context]
+            w, c, n = w + v.size.size, c + v.contexts.size, n + v.count.size
+            v.context = v.contexts = None
         del place
-        pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        pairs, inverse = np.unique(keys, return_inverse=True)
+        inverse = inverse.astype(np.uint32)
         del keys
         total = np.bincount(inverse, np.concatenate([v.count for v in every]), pairs.size).astype(np.int64)
         size, data = np.concatenate([v.size for v in every]), np.concatenate([v.data for v in every])
@@ -233,7 +239,7 @@ def merge_ranges(store: DataFrame) -> DataFrame:
         merged = Vocabulary(take_letters(data, offset[at], size[at]), size[at], np.bincount(pairs >> _PAIR, minlength=own.size), own.astype(np.uint32), contexts, pairs & 0xFFFFFFFF, total)
         cut, ends = np.cumsum([0, *(v.count.size for v in every)]), np.cumsum([0, *(v.size.size for v in every)])
         out = [(part, None, *merged.row())]
-        out += [(part, r["chunk"], r["n"], r["m"], 0, pack_steps(inverse[a:b].astype(np.uint32)), pack_steps(number[x:y].astype(np.uint32)), *[None] * 3) for r, a, b, x, y in zip(rows, cut, cut[1:], ends, ends[1:])]
+        out += [(part, r["chunk"], r["n"], r["m"], 0, pack_steps(inverse[a:b]), pack_steps(number[x:y].astype(np.uint32)), *[None] * 3) for r, a, b, x, y in zip(rows, cut, cut[1:], ends, ends[1:])]
         del every, inverse, merged
         trim()
         return part_batch(out)
@@ -249,7 +255,7 @@ def ask(part: int, v: Vocabulary, tables: list[np.ndarray], ranges: int) -> list
     """To each range of contexts: a range of words' contexts, their customers there and their tables in each chain."""
     n = v.contexts.size
     sums = np.array([np.bincount(v.context, x, n) for x in (v.count, *tables)]).astype(np.uint32)
-    to = range_of(v.contexts, ranges, 48)
+    to = range_of(v.contexts, ranges, 40)
     edge = [*_starts(to), n]
     return [(int(to[i]), part, j - i, 0, ASK, pack_steps(v.contexts[i:j]), pack(sums[:, i:j]), *[None] * 3) for i, j in zip(edge, edge[1:])]
 
