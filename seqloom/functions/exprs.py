@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrays
 from .alphabet import AMINO, IGNORED, REDUCED, codons
 
 #: The alphabet's digits as numbers of that base are written.
@@ -40,11 +41,6 @@ def same_positions(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), lambda n, x: n + x)
 
 
-def amino_digit(letter: Column) -> Column:
-    """Rank in the alphabet, -1 if absent."""
-    return F.when(letter == "", F.lit(-1)).otherwise(F.instr(F.lit(AMINO), letter) - 1)
-
-
 def hash_kmer(residues: Column, at, k: int) -> Column:
     """Base-23 number of the k letters from 0-based ``at``; -1 if one is outside the alphabet. Thirteen letters fill
     a long."""
@@ -85,17 +81,9 @@ def reverse_complement(bases: Column) -> Column:
 def six_frames(bases: Column) -> Column:
     """Six proteins, forward and reverse of frames 0, 1, 2 in turn; stops are left out, short input gives empty ones.
 
-    Codons come from one regular expression and are mapped by nested ``replace``-free lookup in an array.
+    An Arrow UDF: whole columns at a time, where an expression would look up each codon by itself.
     """
-    table = F.create_map(*(F.lit(x) for pair in {**{c: ("" if a == "_" else a) for c, a in codons().items()}}.items() for x in pair))
-
-    def protein(strand, frame):
-        cut = F.substring(strand, frame + 1, 2**31 - 1)
-        found = F.regexp_extract_all(cut, F.lit("([A-Z]{3})"), F.lit(1))
-        return F.array_join(F.transform(found, lambda c: F.when(c.contains("N"), "X").otherwise(F.coalesce(F.element_at(table, c), F.lit("")))), "")
-
-    back = reverse_complement(bases)
-    return F.array(*(protein(s, f) for f in range(3) for s in (bases, back)))
+    return F.arrow_udf(arrays.six_frames_by_slice, "array<string>")(bases)
 
 
 def gapped_length(aligned: Column) -> Column:
@@ -146,17 +134,6 @@ def low_complexity_at(residues: Column, offset: Column, w: int) -> Column:
     return F.substring(residues, start + 1, F.least(F.length(residues), offset + w) - start).rlike(run_pattern(w))
 
 
-def seed_fits(res_ind: Column, coarse_length: Column, k: int, ext: int = 0) -> Column:
-    """Strict: a seed that ends where the sequence ends does not fit."""
-    return res_ind + (k + ext) < coarse_length
-
-
-def extension_equal(coarse: Column, res_ind: Column, org: Column, at: Column, k: int, ext: int) -> Column:
-    if not ext:
-        return F.lit(True)
-    return F.substring(coarse, res_ind + k + 1, F.lit(ext)) == F.substring(org, at + k + 1, F.lit(ext))
-
-
 def interval_overlap(hit_start: Column, hit_end: Column, start: Column, end: Column) -> Column:
     """Closed at both ends."""
     return ~((hit_end < start) | (hit_start > end))

@@ -1,8 +1,7 @@
 """The registered queries of the engine itself, each over whole tables, with DuckDB SQL where SQL can say it."""
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +10,12 @@ from ..functions import exprs, kernels
 from ..functions.alphabet import AMINO, REDUCED, codons
 from ..operators import compress as C
 from ..operators import kmers, links, sets
-from ..operators.align import Aligner, align
+from ..operators.align import Aligner
 from ..sources import compressed_csv, fasta, hits
 from ..sources.params import DatabaseParams
 from . import search as S
+from .scratch import cut, exists, scratch
+from .store import Database
 
 K = 6
 
@@ -34,25 +35,27 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").cast("string").alias("query_id"), exprs.residues_of_text(F.col("text")).alias("residues"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; a private one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Folders of databases that this driver has built, by application, tables and what is in them.
+_BUILT: dict[tuple, str] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def built(spark: SparkSession, sf_dir: str, what: str, make) -> str:
+    """The folder that ``make(path)`` fills, made once an application, as a database is built once and searched often."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _BUILT or not exists(spark, f"{_BUILT[key]}/manifest"):
+        path = scratch(spark, what)
+        make(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def documents_db(spark: SparkSession, sf_dir: str) -> Database:
+    return Database.open(spark, built(spark, sf_dir, "documents", lambda path: Database.create(spark, path, sequences(spark, sf_dir))))
 
 
 def compressed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = C.FAST
-    raw = cut(C.compress_buckets(C.assign_buckets(sequences(spark, sf_dir), p), p), "compressed")
-    return C.number_fragments(raw)
+    db = documents_db(spark, sf_dir)
+    return db.compressed, db.coarse
 
 
 _SEQ = "WITH s AS (SELECT doc_id AS seq_id, source AS name, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'JOU', 'XXX') AS residues FROM documents)"
@@ -91,8 +94,7 @@ SELECT seq_id AS query_id, frame::BIGINT AS frame, length(coalesce(protein, ''))
 
 def kmer_seed_index(spark, sf_dir):
     s = sequences(spark, sf_dir).select(F.col("seq_id").alias("coarse_id"), "residues")
-    counts = kmers.seed_counts(kmers.seed_index(s, K, 0))
-    return counts.select("kmer_hash", "n_seeds", F.col("first.coarse_id").alias("first_id"), F.col("first.res_ind").cast("long").alias("first_ind"))
+    return kmers.count_seeds(s, K, 0)
 
 
 def kmer_hash_roundtrip(spark, sf_dir):
@@ -207,10 +209,14 @@ def top_band_hits(spark, sf_dir):
 
 
 def edit_script_apply(spark, sf_dir):
-    """Scripts between each sequence and a mutated copy, built by the kernel, parsed, rendered and applied by Spark."""
-    rows = sequences(spark, sf_dir).where(F.length("residues") > 10)
+    """Scripts between each sequence and a mutated copy (a short one only gets letters at its end), built by the kernel,
+    parsed, rendered and applied by Spark."""
+    rows = sequences(spark, sf_dir)
+    long = F.length("residues") > 10
     target = F.concat(F.substring("residues", 1, 3), F.lit("W"), F.substring("residues", 6, 2**31 - 1), F.lit("ACD"))
-    rows = rows.select("seq_id", "residues", target.alias("target"), F.concat(F.substring("residues", 1, 5), F.substring("residues", 6, 2**31 - 1), F.lit("---")).alias("a"), F.concat(F.substring("residues", 1, 3), F.lit("W-"), F.substring("residues", 6, 2**31 - 1), F.lit("ACD")).alias("b"))
+    end = F.concat("residues", F.lit("ACD"))
+    edited = F.concat(F.substring("residues", 1, 3), F.lit("W-"), F.substring("residues", 6, 2**31 - 1), F.lit("ACD"))
+    rows = rows.select("seq_id", "residues", F.when(long, target).otherwise(end).alias("target"), F.concat("residues", F.lit("---")).alias("a"), F.when(long, edited).otherwise(end).alias("b"))
 
     def run(batches):
         import pyarrow as pa
@@ -228,33 +234,45 @@ def gapped_lengths(spark, sf_dir):
     return s.select("seq_id", exprs.gapped_length(F.col("aligned")).cast("long").alias("n"))
 
 
-def align_first_window(spark, sf_dir):
-    """Global alignment of every sequence's first 25 residues with its next 25."""
-    s = sequences(spark, sf_dir).select("seq_id", F.substring("residues", 1, 25).alias("a"), F.substring("residues", 26, 25).alias("b"))
-
+def align_windows(spark, sf_dir):
+    """Global alignment of each 25 residues with the next 25, over whole sequences: pairs of windows, their aligned
+    letters and the sum of their identities."""
     def run(batches):
         import pyarrow as pa
 
         for t in batches:
-            out = [kernels.align_global(a.encode(), b.encode()) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([t.column("seq_id"), pa.array([x.decode() for x, _ in out]), pa.array([y.decode() for _, y in out]), pa.array([kernels.identity(x, y) for x, y in out], pa.int32())], names=["seq_id", "ref", "org", "identity"])
+            out = []
+            for r in t.column("residues").to_pylist():
+                x = r.encode()
+                pairs = [kernels.align_global(x[a : a + 25], x[a + 25 : a + 50]) for a in range(0, len(x) - 25, 50)]
+                out.append((len(pairs), sum(len(p) for p, _ in pairs), sum(kernels.identity(p, q) for p, q in pairs)))
+            yield pa.RecordBatch.from_arrays([t.column("seq_id"), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))], names=["seq_id", "n_pairs", "aligned", "identity"])
 
-    return s.mapInArrow(run, "seq_id long, ref string, org string, identity int")
+    rows = sequences(spark, sf_dir).select("seq_id", "residues")
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "seq_id long, n_pairs long, aligned long, identity long")
+
+
+def database_size(spark, sf_dir) -> int:
+    return documents_db(spark, sf_dir).params.db_size
 
 
 def two_stage_search(spark, sf_dir):
     compressed, coarse = compressed_documents(spark, sf_dir)
-    size = int(sequences(spark, sf_dir).agg(F.sum(F.length("residues").cast("long"))).first()[0] or 0)
-    return S.search(bench_queries(spark, sf_dir), compressed, cut(coarse, "coarse"), size, _SEARCH)
+    return S.search(bench_queries(spark, sf_dir), compressed, coarse, database_size(spark, sf_dir), _SEARCH)
 
 
-_SEARCH = S.Search(aligner=Aligner(seed=16, min_seeds=3, max_evalue=1e-6), coarse_evalue=1e-6, fine_evalue=1e-6)
+#: Seeds of six letters pair nearly all prose with all other prose; README has figures.
+_SEARCH = S.Search(aligner=Aligner(seed=12, min_seeds=2))
 
 
 def one_stage_search(spark, sf_dir):
-    s = cut(sequences(spark, sf_dir), "sequences")
-    size = int(s.agg(F.sum(F.length("residues").cast("long"))).first()[0] or 0)
-    return S.search_one_stage(bench_queries(spark, sf_dir), s, size, _SEARCH)
+    return S.search_one_stage(bench_queries(spark, sf_dir), sequences(spark, sf_dir), database_size(spark, sf_dir), _SEARCH)
+
+
+def iterated_search(spark, sf_dir):
+    """The fine stage a second time, with profiles from the hits of the first."""
+    compressed, coarse = compressed_documents(spark, sf_dir)
+    return S.search_iterated(bench_queries(spark, sf_dir), compressed, coarse, database_size(spark, sf_dir), 2, _SEARCH)
 
 
 def accuracy_summary(spark, sf_dir):
@@ -262,13 +280,51 @@ def accuracy_summary(spark, sf_dir):
 
 
 def translated_search(spark, sf_dir):
-    """Six-frame proteins of reduced benchmark items against those of reduced documents' first frame."""
+    """Reduced benchmark items as nucleotides, in all six frames, through both stages against a database of proteins
+    (those of reduced documents)."""
+    def make(path):
+        proteins = sequences(spark, sf_dir).select("seq_id", "name", exprs.six_frames(exprs.reduce_alphabet(F.col("residues"))).alias("frames"))
+        Database.create(spark, path, proteins.select("seq_id", "name", F.col("frames")[0].alias("residues")))
+
+    db = Database.open(spark, built(spark, sf_dir, "proteins", make))
     q = bench_queries(spark, sf_dir).select("query_id", exprs.reduce_alphabet(F.col("residues")).alias("residues"))
-    frames = S.translate_queries(q).select(F.concat_ws("/", "query_id", F.col("frame").cast("string")).alias("query_id"), "residues")
-    t = sequences(spark, sf_dir).select(F.col("seq_id").alias("subject_id"), exprs.six_frames(exprs.reduce_alphabet(F.col("residues")))[0].alias("residues"))
-    t = cut(t, "frames")
-    size = int(t.agg(F.sum(F.length("residues").cast("long"))).first()[0] or 0)
-    return align(frames, t, size, Aligner(seed=8, min_seeds=4, max_evalue=1e-6, top=50.0))
+    return S.search_translated(q, db.compressed, db.coarse, db.params.db_size, replace(_SEARCH, aligner=Aligner(seed=8, min_seeds=4)))
+
+
+def compress_exact(spark, sf_dir):
+    """The exact greedy algorithm with its default parameters, in one sequence of steps over all benchmark items, and
+    the items restored from its links."""
+    b = _table(spark, sf_dir, "benchmark")
+    rows = b.select(F.col("item_id").alias("seq_id"), F.col("item_id").cast("string").alias("name"), exprs.residues_of_text(F.col("text")).alias("residues"))
+    p = C.Params()
+    compressed, coarse = C.number_fragments(cut(C.compress_buckets(C.assign_buckets(rows, p, 1), p), "exact"))
+    return links.decompress(compressed, coarse).select("seq_id", "name", F.length("residues").cast("long").alias("n"), F.md5("residues").alias("digest"))
+
+
+def compress_reduced(spark, sf_dir):
+    """Documents in the reduced alphabet, compressed in buckets and restored."""
+    p = replace(C.FAST, step=C.REDUCED.step, wildcard=C.REDUCED.wildcard)
+    raw = C.compress_reduced(sequences(spark, sf_dir), p)
+    compressed, coarse = (cut(t, "reduced") for t in raw)
+    return links.decompress(compressed, coarse).select("seq_id", "name", F.length("residues").cast("long").alias("n"), F.md5("residues").alias("digest"))
+
+
+def append_compress(spark, sf_dir):
+    """A database of the documents, to which the benchmark items are appended; all of it read back."""
+    def make(path):
+        db = Database.create(spark, path, sequences(spark, sf_dir), DatabaseParams(read_only=False))
+        b = _table(spark, sf_dir, "benchmark")
+        db.append(b.select(F.col("item_id").alias("seq_id"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), exprs.residues_of_text(F.col("text")).alias("residues")))
+        db.compact()
+
+    db = Database.open(spark, built(spark, sf_dir, "appended", make))
+    return db.sequences().select("seq_id", "name", F.length("residues").cast("long").alias("n"), F.md5("residues").alias("digest"))
+
+
+def database_lookup(spark, sf_dir):
+    """Every hundredth document by its id, from links and fragments alone."""
+    ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id")).where("seq_id % 100 = 0")
+    return documents_db(spark, sf_dir).lookup(ids).select("seq_id", "name", F.md5("residues").alias("digest"))
 
 
 def sample_records(spark, sf_dir):
@@ -314,7 +370,8 @@ _P = ", ".join(f"('{k}', '{int(v) if isinstance(v, bool) else v}')" for k, v in
 
 QUERIES = {f.__name__: f for f in (
     residue_normalize, reduce_alphabet, reverse_complement, six_frame_translate, kmer_seed_index, kmer_hash_roundtrip, low_complexity, seed_postings, pairwise_identity, db_stats, compression_ratio, links_per_fragment, compress_roundtrip,
-    compressed_csv_roundtrip, seed_join_candidates, interval_expand, expanded_distinct, two_sided_expand, expand_whole, render_links, first_match, top_band_hits, edit_script_apply, gapped_lengths, align_first_window, two_stage_search, one_stage_search, accuracy_summary, translated_search,
+    compressed_csv_roundtrip, seed_join_candidates, interval_expand, expanded_distinct, two_sided_expand, expand_whole, render_links, first_match, top_band_hits, edit_script_apply, gapped_lengths, align_windows, two_stage_search, one_stage_search, iterated_search, accuracy_summary, translated_search,
+    compress_exact, compress_reduced, append_compress, database_lookup,
     sample_records, append_union, dedup_exact, fasta_roundtrip, tabular_roundtrip, xml_roundtrip, params_roundtrip)}
 
 _RUN3 = exprs.run_pattern(3)
@@ -331,6 +388,10 @@ ORACLES = {
     "pairwise_identity": f"{_SEQ}, p AS (SELECT seq_id, length(residues) AS n, coalesce(list_sum(list_transform(range(1, length(residues) + 1), lambda i: (substr(residues, i::INT, 1) = substr(residues, (length(residues) + 1 - i)::INT, 1))::INT)), 0) AS same FROM s) SELECT seq_id, CASE WHEN n = 0 THEN 0 ELSE floor(same * 100 / n) END::BIGINT AS percent, same::BIGINT AS same FROM p",
     "db_stats": f"{_SEQ} SELECT count(*) AS n_sequences, sum(length(residues))::BIGINT AS n_residues, max(length(residues))::BIGINT AS max_length FROM s",
     "compress_roundtrip": f"{_SEQ} SELECT seq_id, name, length(residues)::BIGINT AS n, md5(residues) AS digest FROM s",
+    "compress_exact": "SELECT item_id AS seq_id, item_id::VARCHAR AS name, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))::BIGINT AS n, md5(translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'JOU', 'XXX')) AS digest FROM benchmark",
+    "compress_reduced": f"{_SEQ}, r AS (SELECT seq_id, name, translate(residues, '{_SRC}', '{_DST}') AS x FROM s) SELECT seq_id, name, length(x)::BIGINT AS n, md5(x) AS digest FROM r",
+    "append_compress": f"{_SEQ}, a AS (SELECT seq_id, name, residues FROM s UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents), 'item' || item_id::VARCHAR, translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 'JOU', 'XXX') FROM benchmark) SELECT seq_id, name, length(residues)::BIGINT AS n, md5(residues) AS digest FROM a",
+    "database_lookup": f"{_SEQ} SELECT seq_id, name, md5(residues) AS digest FROM s WHERE seq_id % 100 = 0",
     "compressed_csv_roundtrip": f"{_SEQ} SELECT seq_id, name, md5(residues) AS digest FROM s",
     "seed_join_candidates": SEED_JOIN_SQL,
     "interval_expand": f"{_HITS_SQL} SELECT coarse_id, count(*) AS n, count(DISTINCT org_seq_id) AS n_originals, count(DISTINCT query_id) AS n_queries FROM x GROUP BY coarse_id",
@@ -340,7 +401,7 @@ ORACLES = {
     "render_links": f"{_HITS_SQL} SELECT org_seq_id::VARCHAR || ' (' || c_start::VARCHAR || ', ' || c_end::VARCHAR || ')' AS link, count(*) AS n FROM k GROUP BY 1",
     "first_match": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) = 1",
     "top_band_hits": "SELECT l_orderkey AS query_id, l_linenumber AS subject_id, l_extendedprice AS bit_score FROM lineitem QUALIFY l_extendedprice >= 0.5 * max(l_extendedprice) OVER (PARTITION BY l_orderkey)",
-    "edit_script_apply": f"{_SEQ} SELECT seq_id, md5(substr(residues, 1, 3) || 'W' || substr(residues, 6) || 'ACD') AS digest, true AS canonical FROM s WHERE length(residues) > 10",
+    "edit_script_apply": f"{_SEQ} SELECT seq_id, md5(CASE WHEN length(residues) > 10 THEN substr(residues, 1, 3) || 'W' || substr(residues, 6) ELSE residues END || 'ACD') AS digest, true AS canonical FROM s",
     "gapped_lengths": f"{_SEQ} SELECT seq_id, length(replace(residues, 'E', ''))::BIGINT AS n FROM s",
     "sample_records": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('0:' || o_orderkey::VARCHAR), o_orderkey LIMIT 100",
     "append_union": f"{_SEQ} SELECT seq_id, name, length(residues)::BIGINT AS n FROM s UNION ALL SELECT item_id + (SELECT max(doc_id) + 1 FROM documents), 'item' || item_id::VARCHAR, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))::BIGINT FROM benchmark",

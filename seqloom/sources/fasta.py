@@ -7,41 +7,45 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 
 
-def parse_fasta(content: Column) -> Column:
-    """Array of (name, residues) of a file's records, in order.
-
-    A record starts at a ``>`` that begins a line, so ``>`` within a header stays; blank lines and an empty header are
-    fine; text before the first record is ignored.
-    """
-    body = F.concat(F.lit("\n"), F.replace(content, F.lit("\r"), F.lit("")))
-    parts = F.filter(F.split(body, "\n>"), lambda _, i: i > 0)
-    cut = lambda p: F.instr(p, "\n")
-    name = lambda p: F.when(cut(p) > 0, F.substring(p, F.lit(1), cut(p) - 1)).otherwise(p)
-    rest = lambda p: F.when(cut(p) > 0, F.substring(p, cut(p) + 1, F.lit(2**31 - 1))).otherwise(F.lit(""))
-    return F.transform(parts, lambda p: F.struct(F.trim(name(p)).alias("name"), F.regexp_replace(rest(p), r"\s", "").alias("residues")))
+def parse_record(record: Column) -> tuple[Column, Column]:
+    """(name, residues) of what stands between one ``>`` that begins a line and the next."""
+    cut = F.instr(record, "\n")
+    name = F.when(cut > 0, F.substring(record, F.lit(1), cut - 1)).otherwise(record)
+    rest = F.when(cut > 0, F.substring(record, cut + 1, F.lit(2**31 - 1))).otherwise(F.lit(""))
+    return F.trim(F.replace(name, F.lit("\r"), F.lit(""))), F.regexp_replace(rest, r"\s", "")
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], mask: bool = True, first_id: int = 0) -> DataFrame:
-    """``seq_id, name, residues``; ids are dense and follow the order of paths and of records in them.
+    """``seq_id, name, residues``; ids are dense and follow the order of paths, of files in them and of records.
 
-    Files are the unit of parallel reading (a FASTA record may span lines, so a file is not split). Null or missing
-    content cannot occur; an empty file has no records. Residues are upper-cased without ``*``; ``mask`` turns J, O
-    and U to X.
+    A record starts at a ``>`` that begins a line, so ``>`` within a header stays; blank lines and an empty header are
+    fine; text before the first record is ignored; an empty file has no records. Files are read by splits, so a large
+    one is many tasks and no value is larger than a record (a gzip file is one task). Ids need two reads: one counts
+    the records of each split. Residues are upper-cased without ``*``; ``mask`` turns J, O and U to X.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = None
     for order, path in enumerate(paths):
-        one = spark.read.text(path, wholetext=True).select(F.lit(order).alias("file"), F.col("_metadata.file_path").alias("path"), "value")
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+        one = spark.read.option("lineSep", "\n>").text(path).select(F.lit(order).alias("file"), place.alias("split"), F.monotonically_increasing_id().alias("place"), "value")
         files = one if files is None else files.unionAll(one)
-    rows = files.select("file", "path", F.posexplode(parse_fasta(F.col("value"))).alias("ord", "r"))
-    counts = rows.groupBy("file", "path").agg(F.count("*").alias("n"))
-    base = counts.select(F.col("file").alias("f"), F.col("path").alias("p"), (F.sum("n").over(Window.orderBy("file", "path")) - F.col("n")).alias("base"))
-    residues = exprs.normalize(F.col("r.residues"))
-    rows = rows.join(base, (F.col("file") == F.col("f")) & (F.col("path") == F.col("p")))
-    return rows.select((F.col("base") + F.col("ord") + first_id).alias("seq_id"), F.col("r.name").alias("name"), (exprs.mask_ignored(residues) if mask else residues).alias("residues"))
-
-
-def write_fasta(df: DataFrame, path: str, order_col: str = "seq_id", space: bool = False, asterisk: bool = False, mode: str = "errorifexists") -> None:
-    """Records ordered by id over all files (range partitions, so no single task sorts the table)."""
+    splits = files.groupBy("file", "split").agg(F.min("place").alias("first"), F.min_by("value", "place").substr(1, 1).alias("mark"), F.count("*").alias("n"))
+    # what a file begins with is a record only if it begins with the mark
+    begins = F.col("split.file_block_start") == 0
+    skip = (begins & (F.coalesce("mark", F.lit("")) != ">")).cast("long")
+    before = F.sum(F.col("n") - F.col("skip")).over(Window.orderBy("file", "split")) - (F.col("n") - F.col("skip"))  # a row a split
+    splits = splits.withColumn("skip", skip).select(F.col("file").alias("f"), F.col("split").alias("s"), "first", "skip", before.alias("base"))
+    rows = files.join(splits, (F.col("file") == F.col("f")) & (F.col("split") == F.col("s")))
+    at = F.col("place") - F.col("first")
+    rows = rows.where(at >= F.col("skip")).withColumn("value", F.when((at == 0) & (F.col("split.file_block_start") == 0), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")))
+    name, residues = parse_record(F.col("value"))
+    residues = exprs.normalize(residues)
+    return rows.select((F.col("base") + at - F.col("skip") + first_id).alias("seq_id"), name.alias("name"), (exprs.mask_ignored(residues) if mask else residues).alias("residues"))
+
+
+def write_fasta(df: DataFrame, path: str, order_col: str = "seq_id", space: bool = False, asterisk: bool = False, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """Records ordered by id over all files (range partitions, so no single task sorts the table);
+    ``compression`` is a codec such as gzip."""
     rows = df.repartitionByRange(F.col(order_col)).sortWithinPartitions(order_col)
-    rows.select(exprs.fasta_record(F.col("name"), F.col("residues"), space, asterisk).alias("value")).write.mode(mode).text(path)
+    out = rows.select(exprs.fasta_record(F.col("name"), F.col("residues"), space, asterisk).alias("value")).write.mode(mode)
+    (out.option("compression", compression) if compression else out).text(path)

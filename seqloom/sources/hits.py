@@ -34,12 +34,16 @@ def write_tabular(hits: DataFrame, path: str, mode: str = "errorifexists") -> No
     hits.select(*(n for n, _ in _COLUMNS)).write.mode(mode).option("sep", "\t").csv(path)
 
 
-XML_SCHEMA = "BlastOutput_iterations struct<Iteration: array<struct<`Iteration_query-def`: string, Iteration_hits: struct<Hit: array<struct<Hit_num: int, Hit_accession: string, Hit_hsps: struct<Hsp: array<struct<Hsp_num: int, Hsp_evalue: double, `Hsp_query-from`: int, `Hsp_query-to`: int, `Hsp_hit-from`: int, `Hsp_hit-to`: int>>>>>>>>>"
+_ITERATION = "`Iteration_query-def` string, Iteration_hits struct<Hit: array<struct<Hit_num: int, Hit_accession: string, Hit_hsps: struct<Hsp: array<struct<Hsp_num: int, Hsp_evalue: double, `Hsp_query-from`: int, `Hsp_query-to`: int, `Hsp_hit-from`: int, `Hsp_hit-to`: int>>>>>>"
+XML_SCHEMA = "BlastOutput_iterations struct<Iteration: array<struct<" + _ITERATION.replace("` string", "`: string").replace("hits struct", "hits: struct") + ">>>"
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``query_id, hit_num, accession, hsp_num, evalue, q_start, q_end, hit_start, hit_end``: one row an alignment."""
-    return flatten_xml(spark.read.format("xml").option("rowTag", "BlastOutput").schema(XML_SCHEMA).load(path))
+    """``query_id, hit_num, accession, hsp_num, evalue, q_start, q_end, hit_start, hit_end``: one row an alignment.
+
+    An iteration (one query) is a row, so a file is read by many tasks.
+    """
+    return flatten_iterations(spark.read.format("xml").option("rowTag", "Iteration").schema(_ITERATION).load(path).select(F.struct("*").alias("i")))
 
 
 def parse_xml(df: DataFrame, value_col: str) -> DataFrame:
@@ -48,7 +52,10 @@ def parse_xml(df: DataFrame, value_col: str) -> DataFrame:
 
 
 def flatten_xml(df: DataFrame) -> DataFrame:
-    rows = df.select(F.explode("BlastOutput_iterations.Iteration").alias("i"))
+    return flatten_iterations(df.select(F.explode("BlastOutput_iterations.Iteration").alias("i")))
+
+
+def flatten_iterations(rows: DataFrame) -> DataFrame:
     rows = rows.select(F.col("i.`Iteration_query-def`").alias("query_id"), F.explode("i.Iteration_hits.Hit").alias("h"))
     rows = rows.select("query_id", F.col("h.Hit_num").alias("hit_num"), F.col("h.Hit_accession").alias("accession"), F.explode("h.Hit_hsps.Hsp").alias("s"))
     return rows.select("query_id", "hit_num", "accession", F.col("s.Hsp_num").alias("hsp_num"), F.col("s.Hsp_evalue").alias("evalue"), F.col("s.`Hsp_query-from`").alias("q_start"), F.col("s.`Hsp_query-to`").alias("q_end"), F.col("s.`Hsp_hit-from`").alias("hit_start"), F.col("s.`Hsp_hit-to`").alias("hit_end"))

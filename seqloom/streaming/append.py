@@ -2,32 +2,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.functions import col, lit, row_number
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
+from ..plans.scratch import dense_ids
 from ..plans.store import Database
 
 
 def append_stream(stream: DataFrame, db: Database, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Start a query that appends every micro-batch of ``name, residues``; ids go on in the order of (name, residues).
 
-    A batch that comes again after a failure is recognised by its number, which is kept beside the tables.
+    A batch's number is committed together with its rows, so one that comes again after a failure is passed over.
     """
-    marks = f"{db.path}/_batches"
-
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            done = not spark.read.parquet(marks).where(col("batch") == number).isEmpty()
-        except Exception as e:  # the first batch finds no marks
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = False
-        if done or batch.isEmpty():
-            return
-        rows = batch.select((row_number().over(Window.orderBy("name", "residues")) - 1).cast("long").alias("seq_id"), "name", "residues")
-        db.append(rows)
-        spark.range(1).select(lit(number).cast("long").alias("batch")).write.mode("append").parquet(marks)
+        if not batch.isEmpty():
+            db.append(dense_ids(batch.select("name", "residues"), ["name", "residues"]), mark=number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

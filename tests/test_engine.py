@@ -110,12 +110,145 @@ def test_store(spark, seqs, tmp_path):
     assert db.fragments(one).count() == 1 and db.fragment_links(one).count() >= 1
     db.compact(1)
     assert Database.open(spark, path).sequences().count() == 10
+    assert db.vacuum() == 2 and db.vacuum() == 0 and Database.open(spark, path).sequences().count() == 10
     closed = Database.create(spark, str(tmp_path / "ro"), seqs)
     with pytest.raises(PermissionError):
         closed.append(more)
     assert closed.seeds.count() > 0
 
 
+def test_append_uses_stored_fragments(spark, tmp_path):
+    """What is stored is linked to, not stored again: the appended copies add next to nothing."""
+    import random
+
+    rng = random.Random(1)
+    base = [(i, f"s{i}", "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(400))) for i in range(20)]
+    near = [(i, f"t{i}", r[:150] + "W" + r[151:300] + r[302:]) for i, _, r in base]
+    db = Database.create(spark, str(tmp_path / "db"), spark.createDataFrame(base, SEQUENCES), DatabaseParams(read_only=False))
+    before = db.coarse.count()
+    db.append(spark.createDataFrame(near, SEQUENCES))
+    size = db.coarse.agg(F.sum(F.length("residues"))).first()[0]
+    assert before == 20 and size < 1.1 * 20 * 400
+    assert {r["seq_id"]: r["residues"] for r in db.sequences().collect()} == {**{i: r for i, _, r in base}, **{20 + i: r for i, _, r in near}}
+
+
+def test_failed_append_changes_nothing(spark, seqs, tmp_path, monkeypatch):
+    path = str(tmp_path / "db")
+    db = Database.create(spark, path, seqs, DatabaseParams(read_only=False))
+    monkeypatch.setattr(Database, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    more = spark.createDataFrame([(0, "z", BASE[:100])], SEQUENCES)
+    with pytest.raises(OSError):
+        Database.open(spark, path).append(more, mark=3)
+    assert Database.open(spark, path).sequences().count() == 8
+    monkeypatch.undo()
+    db = Database.open(spark, path).append(more, mark=3)
+    assert db.append(more, mark=3).sequences().count() == 9 and Database.open(spark, path).params.db_size == sum(len(r) for _, _, r in proteins()) + 100
+
+
+def test_near_copies_share_a_bucket(spark):
+    import random
+
+    rng = random.Random(2)
+    fresh = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    rows = []
+    for g in range(30):
+        base = fresh(500)
+        for k in range(4):
+            at = rng.randrange(500)
+            rows.append((len(rows), str(g), base[:at] + fresh(3) + base[at:]))
+    df = spark.createDataFrame(rows, SEQUENCES)
+    p = C.FAST
+    got = C.assign_buckets(df, p, 16).select("seq_id", "bucket").collect()
+    bucket = {r["seq_id"]: r["bucket"] for r in got}
+    assert sum(len({bucket[4 * g + k] for k in range(4)}) == 1 for g in range(30)) >= 27
+    compressed, coarse = C.number_fragments(C.compress_buckets(C.assign_buckets(df, p, 16), p))
+    assert links.compression_ratio(df, coarse).first()["ratio"] <= 60
+    assert {r["seq_id"]: r["residues"] for r in links.decompress(compressed, coarse).collect()} == {i: r for i, _, r in rows}
+
+
+def test_vectorised_kmers_and_frames():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from seqloom.functions import arrays
+    from seqloom.functions.alphabet import AMINO, codons
+
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("AAAAABCX*") for _ in range(rng.randrange(30))) for _ in range(60)] + [None, ""]
+    data, off = arrays.letters(pa.array(rows, pa.string()))
+    for w in (2, 3, 5):
+        got, at = arrays.near_run(data, off, w), 0
+        for r in rows:
+            for o in range(len(r or "")):
+                part = r[max(o - w, 0) : min(len(r), o + w)]
+                assert got[at] == any(part[i : i + w] == part[i] * w for i in range(len(part) - w + 1)), (r, o, w)
+                at += 1
+    text = "ACDEFGHIKLMNPQRSTVWYABCZ"
+    letters, _ = arrays.letters(pa.array([text + "*A"]))
+    one, two = arrays.keys(letters, np.array([0, 1, 2]), 24)
+    number = lambda x: sum(AMINO.index(c) * 23 ** (len(x) - 1 - i) for i, c in enumerate(x))
+    assert (one[0], two[0]) == (number(text[:13]), number(text[13:])) and one[1] == one[2] == -1
+    bases = ["".join(rng.choice("ACGTN") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 31, 60)]
+    table, pair = codons(), dict(zip("ACGTN", "TGCAN"))
+    for r, got in zip(bases, arrays.six_frames(pa.array(bases)).to_pylist()):
+        back = "".join(pair[c] for c in reversed(r))
+        want = []
+        for f in range(3):
+            for s in (r, back):
+                cut = [s[i : i + 3] for i in range(f, len(s) - 2, 3)]
+                want.append("".join("X" if "N" in c else table[c].replace("_", "") for c in cut))
+        assert got == want
+    with pytest.raises(ValueError):
+        arrays.six_frames(pa.array(["ACZ"]))
+
+
+def test_fasta_splits(spark, tmp_path):
+    """A file of many splits gives the same rows as one of a single split, in the same order."""
+    want = [(i, f"name {i} > x", "ACDEFGHIKL"[: 1 + i % 10] * 3) for i in range(3000)]
+    text = "; a comment\n\n" + "".join(f">{n}\r\n{r[:10]}\n{r[10:]}\n" for _, n, r in want)
+    (tmp_path / "big.fa").write_text(text)
+    (tmp_path / "more.fa").write_text(">last\nAAA")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "9000")
+        df = fasta.read_fasta(spark, [str(tmp_path / "big.fa"), str(tmp_path / "more.fa")])
+        assert spark.read.option("lineSep", "\n>").text(str(tmp_path / "big.fa")).rdd.getNumPartitions() > 3
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == [*want, (3000, "last", "AAA")]
+
+
+def test_xml_file(spark, tmp_path):
+    hsp = "<Hsp><Hsp_num>1</Hsp_num><Hsp_evalue>0.5</Hsp_evalue><Hsp_query-from>1</Hsp_query-from><Hsp_query-to>9</Hsp_query-to><Hsp_hit-from>3</Hsp_hit-from><Hsp_hit-to>20</Hsp_hit-to></Hsp>"
+    one = lambda q: f"<Iteration><Iteration_query-def>{q}</Iteration_query-def><Iteration_hits><Hit><Hit_num>1</Hit_num><Hit_accession>7</Hit_accession><Hit_hsps>{hsp}</Hit_hsps></Hit></Iteration_hits></Iteration>"
+    text = "<?xml version='1.0'?>\n<BlastOutput><BlastOutput_iterations>" + one("q1") + "\n" + one("q2") + "</BlastOutput_iterations></BlastOutput>"
+    (tmp_path / "x.xml").write_text(text)
+    want = sorted(tuple(r) for r in hits.parse_xml(spark.createDataFrame([(text,)], "x string"), "x").collect())
+    assert len(want) == 2 and sorted(tuple(r) for r in hits.read_xml(spark, str(tmp_path / "x.xml")).collect()) == want
+
+
+def test_dumps_and_compressed_sink(spark, tmp_path):
+    own = spark.createDataFrame([(3, "n", [(1, 0, 5, "s1A"), (2, 3, 4, "")])], "seq_id long, name string, links array<struct<coarse_id: long, c_start: int, c_end: int, diff: string>>")
+    compressed_csv.write_links_csv(own, str(tmp_path / "l"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "l")).collect()) == ["1,3,0,5", "2,3,3,4"]
+    compressed_csv.write_seeds_csv(spark.createDataFrame([(5, 1, 2)], "kmer_hash long, coarse_id long, res_ind int"), str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s")).first()[0] == "5,1,2"
+    seqs = spark.createDataFrame([(0, "a", "ACD"), (1, "b", "EF")], SEQUENCES)
+    fasta.write_fasta(seqs, str(tmp_path / "f"), compression="gzip")
+    assert list((tmp_path / "f").glob("*.gz")) and sorted(tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "f")).collect()) == [(0, "a", "ACD"), (1, "b", "EF")]
+
+
+def test_every_band_is_a_hit(spark):
+    q = spark.createDataFrame([("q", BASE)], "query_id string, residues string")
+    t = spark.createDataFrame([("t", BASE[:55] + "W" * 90 + BASE[60:])], "subject_id string, residues string")
+    got = align(q, t, 300, Aligner()).collect()
+    assert {(r["q_start"] < 10, r["q_end"] > 100) for r in got} >= {(True, False), (False, True)}
+
+
 def test_stream_append(spark, seqs, tmp_path):
     db = Database.create(spark, str(tmp_path / "db"), seqs, DatabaseParams(read_only=False))
     src = str(tmp_path / "in")
