@@ -50,7 +50,9 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
 def prefix_targets(formatted: DataFrame) -> DataFrame:
     """One example per assistant turn: ``conv_id, example, text, loss_start, loss_end``.
 
-    ``text`` has all turns up to the reply; only code points [loss_start, loss_end) are trainable.
+    ``text`` has all turns up to the reply; only code points [loss_start, loss_end) are trainable. A conversation
+    without assistant turns, and an empty table, have none; an empty reply is an example with nothing to learn; a null
+    id stays null; texts of any length are whole; other columns are ignored.
     """
     rows = formatted.select("conv_id", "formatted", F.posexplode("targets").alias("example", "t"))
     return rows.select("conv_id", "example", F.expr("substr(formatted, 1, int(t.end))").alias("text"), F.col("t.start").alias("loss_start"), F.col("t.end").alias("loss_end"))

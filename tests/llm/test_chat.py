@@ -48,3 +48,14 @@ def test_digest_by_hand(spark, sf_dir):
         loss = "".join(r["text"] for r in own if r["role"] == "assistant")
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[-1]["loss_chars"] == len("<|im_end|><|im_start|>assistant ok")
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    from seqloom.llm import chat
+
+    big = "x<|im_end|>" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", big, "a", "b"), (1, 1, "assistant", big, "a", "b")], "conv_id long, turn long, role string, text string, formatted string, targets string")
+    formatted = chat.format_conversations(df)
+    r = chat.prefix_targets(formatted).select(chat.loss_text().alias("loss"), F.length("text").alias("n")).collect()
+    assert len(r) == 1 and r[0]["loss"] == big and r[0]["n"] > 2 * len(big)
+    assert [tuple(t) for t in formatted.select(chat.parse_turns(F.col("formatted")).alias("t")).first()["t"]] == [("user", big), ("assistant", big)]

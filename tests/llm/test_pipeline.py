@@ -39,6 +39,21 @@ def test_stages(spark, sf_dir):
             assert out.columns == docs.columns
 
 
+def test_repeated_rows_clashing_columns_and_long_texts(spark, sf_dir):
+    """Every stage keeps all columns, judges repeated rows alike and reads a long text whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    long = docs.limit(1).select(F.lit(1_000_001).cast("long").alias("doc_id"), F.expr("array_join(transform(sequence(1, 40000), x -> concat('word', cast(x * 7919 % 40009 as string))), ' ')").alias("text"), "lang", "source", "n_chars")
+    rows = docs.unionByName(docs).unionByName(long)
+    for name in ("join_drop", "mix_topic", "mix_tokens", "score", "t", "i", "leaked"):
+        rows = rows.withColumn(name, F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, sf_dir)
+        assert out.columns == rows.columns
+        got = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("size")).collect()
+        assert {r["n"] for r in got if r["doc_id"] < 60} == {2}, name
+        assert all(r["size"] > 300_000 for r in got if r["doc_id"] == 1_000_001)
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     import importlib
 
