@@ -1,6 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated by temperature."""
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -8,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Shared
-from .textkit import by_slice, crc_rows, mix, slices, trim, words
+from .shared import shuffles_freed
+from .textkit import by_slice, crc_rows, mix, pack, slices, trim, unpack, words
 
 #: Rows of the table of context vectors: a word's row is given by 20 bits of its hash, so the table is 32 MB whatever
 #: the corpus. Words that share a row add up, and the frequent one rules it.
@@ -54,26 +55,41 @@ def _added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a.T).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers near zero, place by place, the sign in the lowest bit so that upper bytes are zero."""
+    a = a.T.astype(np.int64)
+    return pack((a << 1 ^ a >> 63).view(np.uint64))
 
 
 def _unpack(b: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(b, 4 * n * DIM, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).reshape(DIM, n).T
+    u = unpack(b, np.uint64, n * DIM)
+    return ((u >> np.uint64(1)).view(np.int64) ^ -(u & np.uint64(1)).view(np.int64)).reshape(DIM, n).T
 
 
-def context_vectors(df: DataFrame, text_col: str, most: int = 120_000) -> np.ndarray:
+def _piece(k: int, rows: np.ndarray, sums: np.ndarray) -> list[pa.Array]:
+    packed = _pack(sums)
+    return [pa.array([k]), pa.array([zlib.crc32(packed)]), pa.array([rows.astype(np.uint16).tobytes()], pa.binary()), pa.array([packed], pa.binary())]
+
+
+def _total(table: pa.Table) -> np.ndarray:
+    total = np.zeros((ROWS // PIECES, DIM), np.int64)
+    for r, v in zip(table.column("rows"), table.column("sums")):
+        at = np.frombuffer(r.as_py(), np.uint16)
+        total[at] += _unpack(v.as_py(), at.size)
+    return total
+
+
+def context_vectors(df: DataFrame, text_col: str, most: int = 160_000, fan: int = 256) -> np.ndarray:
     """Context vectors of unit length (int8, 127 is one) learnt from all texts of ``df``. A task holds sums of about
-    ``most`` rows at a time; pieces of the table are summed by Spark; the driver gets the table."""
-    size = ROWS // PIECES
+    ``most`` rows of the table at a time; each of its pieces is summed in a tree, about ``fan`` parts at a time, as deep
+    as the corpus needs; the driver gets the table."""
+    size, names = ROWS // PIECES, ["k", "slot", "rows", "sums"]
 
     def emit(held):
         rows, sums = _added(np.concatenate([r for r, _ in held]), np.concatenate([v for _, v in held]))
         cut = np.searchsorted(rows, np.arange(PIECES + 1) * size)
         for k in np.flatnonzero(np.diff(cut)).tolist():
             a, e = cut[k], cut[k + 1]
-            cols = [pa.array([k]), pa.array([(rows[a:e] - k * size).astype(np.uint16).tobytes()], pa.binary()), pa.array([_pack(sums[a:e])], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "rows", "sums"])
+            yield pa.RecordBatch.from_arrays(_piece(k, rows[a:e] - k * size, sums[a:e]), names=names)
 
     def run(batches):
         held, n = [], 0
@@ -88,23 +104,37 @@ def context_vectors(df: DataFrame, text_col: str, most: int = 120_000) -> np.nda
                     held, n = [], 0
         if held:
             yield from emit(held)
+        del held
         trim()
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((size, DIM), np.int64)
-        for r, v in zip(table.column("rows"), table.column("sums")):
-            at = np.frombuffer(r.as_py(), np.uint16)
-            total[at] += _unpack(v.as_py(), at.size)
+    def some(table: pa.Table) -> pa.Table:
+        total = _total(table)
+        rows = np.flatnonzero(total.any(1))
+        out = pa.Table.from_arrays(_piece(table.column("k")[0].as_py(), rows, total[rows]), names=names)
+        del total
+        trim()
+        return out
+
+    def every(table: pa.Table) -> pa.Table:
+        total = _total(table)
         length = np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
         out = pa.table({"k": [table.column("k")[0].as_py()], "v": pa.array([np.rint(127 * total / length).astype(np.int8).tobytes()], pa.binary())})
         del total, length
         trim()
         return out
 
-    sums = df.select(df[text_col].cast("string").alias("t")).mapInArrow(run, "k long, rows binary, sums binary")
+    schema = "k long, slot long, rows binary, sums binary"
+    texts = df.select(df[text_col].cast("string").alias("t"))
+    sums = texts.mapInArrow(run, schema)
+    # parts of a piece: about one for as much text as has ``most`` distinct words
+    parts = (texts.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0) // (16 * most) + 1
+    while parts > fan:
+        parts = -(-parts // fan)
+        sums = sums.groupBy("k", F.pmod("slot", F.lit(parts)).alias("s")).applyInArrow(some, schema)
     out = np.zeros((PIECES, size, DIM), np.int8)
-    for r in sums.groupBy("k").applyInArrow(add, "k long, v binary").toLocalIterator():
-        out[r["k"]] = np.frombuffer(bytes(r["v"]), np.int8).reshape(size, DIM)
+    with shuffles_freed(df.sparkSession):
+        for r in sums.groupBy("k").applyInArrow(every, "k long, v binary").collect():
+            out[r["k"]] = np.frombuffer(bytes(r["v"]), np.int8).reshape(size, DIM)
     return out.reshape(ROWS, DIM)
 
 

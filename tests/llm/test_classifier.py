@@ -36,8 +36,8 @@ def test_contexts_against_brute_force(spark):
     rows, sums = contexts(words(pa.array(texts, pa.string())))
     assert {r: tuple(v) for r, v in zip(rows.tolist(), sums.tolist())} == {r: tuple(v.tolist()) for r, v in want.items()}
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    for most in (120_000, 2):
-        got = context_vectors(df, "text", most)
+    for most, fan in ((120_000, 256), (2, 256), (1, 2)):
+        got = context_vectors(df, "text", most, fan)
         assert got.shape == (ROWS, DIM) and set(np.flatnonzero(got.any(1)).tolist()) == {r for r, v in want.items() if v.any()}
         for r, v in want.items():
             assert np.abs(got[r] - 127 * v / max(np.linalg.norm(v), 1e-9)).max() <= 0.5
