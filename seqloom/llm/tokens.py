@@ -2,8 +2,8 @@
 frequencies, and summed; no ids are kept.
 
 Frequencies are kept by chunk, some documents each: a chunk has a list of its distinct pre-tokens and, for each of its
-documents, their places in that list and how often they occur. The lists of all chunks give the distinct pre-tokens,
-which are cut into pieces once; the counts go back to the lists by a join, and chunks add up their documents.
+documents, their places in that list and how often they occur. Entries of all lists meet by pre-token, where each
+distinct one is cut into pieces once; the counts join the frequencies of their chunks, which add up their documents.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize, materialize_by
 from .textkit import pack, slices, trim, unpack
 
 # The byte-level pre-tokenizer's pattern.
@@ -154,18 +154,24 @@ def _unpack_places(b: bytes, size: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, size)
 
 
+#: Of rows of chunks: list of distinct pre-tokens, or frequencies.
+WORDS, DOCUMENTS = 0, 1
+
+
 def cut_chunks(df: DataFrame, tokenizer_json: str, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """One row a chunk: ``chunk, ids, n_bytes, special, n, m, size, place, count, words``."""
+    """Two rows a chunk: ``kind, chunk, words``, and ``kind, chunk, ids, n_bytes, special, n, m, size, place, count``."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)  # one file of fixed size
     kind = dict(df.dtypes)[id_col]
-    names = ["chunk", "ids", "n_bytes", "special", "n", "m", "size", "place", "count", "words"]
+    schema = f"kind int, chunk long, words array<string>, ids array<{kind}>, n_bytes array<long>, special array<long>, n long, m long, size binary, place binary, count binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         def emit(c: Chunk):
             n, m, size, place, count, words = c.row()
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            numbers = [pa.array(x, pa.int64()) for x in ([uuid.uuid4().int >> 65], c.n_bytes, c.special, [n], [m])]
-            cols = [numbers[0], one(pa.concat_arrays(c.ids)), one(numbers[1]), one(numbers[2]), *numbers[3:], *(pa.array([x], pa.binary()) for x in (size, place, count)), one(words)]
+            two = lambda values, first: pa.ListArray.from_arrays(pa.array([0, len(values) * first, len(values)], pa.int32()), values)
+            number, ids = uuid.uuid4().int >> 65, pa.concat_arrays(c.ids)
+            lists = [two(words, 1), two(ids, 0), two(pa.array(c.n_bytes, pa.int64()), 0), two(pa.array(c.special, pa.int64()), 0)]
+            cols = [pa.array([WORDS, DOCUMENTS], pa.int32()), pa.array([number] * 2), *lists, *(pa.array([0, x], pa.int64()) for x in (n, m)), *(pa.array([b"", x], pa.binary()) for x in (size, place, count))]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         cutter, chunk = Cutter(shared.value), Chunk()
@@ -180,19 +186,40 @@ def cut_chunks(df: DataFrame, tokenizer_json: str, id_col: str, text_col: str, c
         trim()
 
     rows = df.select(df[id_col].alias("i"), df[text_col].cast("string").alias("t"))
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, n_bytes array<long>, special array<long>, n long, m long, size binary, place binary, count binary, words array<string>")
+    return rows.mapInArrow(run, schema)
+
+
+def sorted_pieces(batches: Iterator[list[str]], count) -> Iterator[np.ndarray]:
+    """Pieces of each word of batches that come in order of words; ``count`` gets each distinct word once."""
+    last, pieces = None, 0
+    for own in batches:
+        coded = pa.array(own, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = bool(distinct) and distinct[0] == last
+        n = np.concatenate([[pieces][: int(known)], count(distinct[int(known) :])]).astype(np.int64)
+        if distinct:
+            last, pieces = distinct[-1], int(n[-1])
+        yield n[coded.indices.to_numpy()]
 
 
 def count_pieces(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``word, pieces`` of the distinct pre-tokens in ``words(word)``: each is cut into pieces once."""
+    """``home, k, pieces`` of ``words(home, k, word)``: equal pre-tokens of all chunks meet and are cut into pieces once."""
     shared = words.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
         tok, plain = _load(shared.value), byte_level(json.loads(shared.value))
-        for b in slices(batches, "word"):
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(piece_counts(tok, plain, b.column("word").to_pylist()))], names=["word", "pieces"])
+        kept = []
+
+        def texts():
+            for b in slices(batches, "word"):
+                kept.append(b)
+                yield b.column("word").to_pylist()
+
+        for n in sorted_pieces(texts(), lambda own: piece_counts(tok, plain, own)):
+            b = kept.pop()
+            yield pa.RecordBatch.from_arrays([b.column("home"), b.column("k"), pa.array(n.astype(np.int32))], names=["home", "k", "pieces"])
 
-    return words.select("word").distinct().mapInArrow(run, "word string, pieces long")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "home long, k int, pieces int")
 
 
 def count_tokens(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk_bytes: int = 8 << 20) -> DataFrame:
@@ -202,10 +229,10 @@ def count_tokens(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", tex
     empty table gives an empty table; other columns are ignored. Special strings in a text count as the library's
     default has it. A tokenizer without a pre-tokenizer is an error. A chunk has about ``chunk_bytes`` of text.
     """
-    chunks = materialize(cut_chunks(df, tokenizer_json, id_col, text_col, chunk_bytes), "token-chunks")
-    words = chunks.select(F.col("chunk").alias("home"), F.posexplode("words").alias("k", "word"))
-    pieces = count_pieces(words, tokenizer_json).withColumnRenamed("word", "word2")
-    found = words.join(pieces, F.col("word") == F.col("word2")).select("home", "k", "pieces")
+    lists, chunks = materialize_by(cut_chunks(df, tokenizer_json, id_col, text_col, chunk_bytes), "token-chunks", "kind", [WORDS, DOCUMENTS])
+    words = lists.select(F.col("chunk").alias("home"), F.posexplode("words").alias("k", "word"))
+    found = materialize(count_pieces(words, tokenizer_json), "token-pieces")
+    discard(lists)
     kind = dict(df.dtypes)[id_col]
 
     def add(own: pa.Table, found: pa.Table) -> pa.Table:

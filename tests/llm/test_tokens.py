@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom.llm import queries
-from seqloom.llm.tokens import Chunk, Cutter, _load, _unpack_places, count_pieces, count_tokens, cut_chunks, piece_counts
+from seqloom.llm.tokens import Chunk, Cutter, _load, _unpack_places, count_pieces, count_tokens, cut_chunks, piece_counts, sorted_pieces
 from seqloom.llm.textkit import unpack
 
 
@@ -74,11 +74,16 @@ def test_chunk_has_frequencies(cutter):
 
 
 def test_each_pre_token_is_counted_once(spark, tok):
+    asked = []
+    count = lambda own: (asked.extend(own), np.array([len(x) for x in own]))[1]
+    got = list(sorted_pieces(iter([["a", "a", "bb"], ["bb", "bb"], [], ["bb", "ccc"], ["ccc", "d"]]), count))
+    assert asked == ["a", "bb", "ccc", "d"] and [g.tolist() for g in got] == [[1, 1, 2], [2, 2], [], [2, 3], [3, 1]]
     df = spark.createDataFrame([(i, f"some words and more {i % 3}") for i in range(60)], "doc_id long, text string").repartition(6)
-    words = cut_chunks(df, spec(), "doc_id", "text", 20).select(F.explode("words").alias("word"))
-    got = {r["word"]: r["pieces"] for r in count_pieces(words, spec()).collect()}
-    assert len(got) == count_pieces(words, spec()).count() == 7 and words.count() > 40
-    assert all(n == library(tok, [x])[0] for x, n in got.items())
+    words = cut_chunks(df, spec(), "doc_id", "text", 20).select(F.col("chunk").alias("home"), F.posexplode("words").alias("k", "word"))
+    words = spark.createDataFrame(words.collect(), words.schema)
+    found = count_pieces(words, spec()).join(words, ["home", "k"]).collect()
+    assert len(found) == words.count() > 40 and len({r["word"] for r in found}) == 7
+    assert all(r["pieces"] == library(tok, [r["word"]])[0] for r in found)
 
 
 def test_other_kind_of_tokenizer(spark):
