@@ -9,8 +9,9 @@ def test_oracle(spark, duck, same, sf_dir, name):
     same(QUERIES[name](spark, sf_dir).toPandas(), duck.sql(ORACLES[name]).df())
 
 
-def test_search_recall(spark, sf_dir):
-    r = QUERIES["accuracy_summary"](spark, sf_dir).first()
+@pytest.mark.parametrize("name", ["accuracy_summary", "accuracy_sensitive"])
+def test_search_recall(spark, sf_dir, name):
+    r = QUERIES[name](spark, sf_dir).first()
     assert r["gold_hits"] > 0 and r["accuracy"] >= 0.9
 
 
