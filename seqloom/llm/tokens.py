@@ -222,7 +222,7 @@ def count_pieces(words: DataFrame, tokenizer_json: str) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "home long, k int, pieces int")
 
 
-def count_tokens(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of ``df``: id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
     Null texts are empty (0 tokens); texts are counted whole, very long ones in parts; repeated rows count alike; an
