@@ -41,6 +41,16 @@ def same_positions(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), lambda n, x: n + x)
 
 
+def amino_digit(letter: Column) -> Column:
+    """Rank in the alphabet, -1 if absent."""
+    return F.when(letter == "", F.lit(-1)).otherwise(F.instr(F.lit(AMINO), letter) - 1)
+
+
+def amino_letter(digit: Column) -> Column:
+    """The letter of a rank; empty if there is none."""
+    return F.when((digit >= 0) & (digit < len(AMINO)), F.substring(F.lit(AMINO), digit.cast("int") + 1, F.lit(1))).otherwise("")
+
+
 def hash_kmer(residues: Column, at, k: int) -> Column:
     """Base-23 number of the k letters from 0-based ``at``; -1 if one is outside the alphabet. Thirteen letters fill
     a long."""

@@ -69,6 +69,13 @@ def residue_normalize(spark, sf_dir):
     return s.select("seq_id", F.length("residues").cast("long").alias("n"), F.md5("residues").alias("digest"), exprs.repetitive(F.col("residues")).alias("is_repetitive"))
 
 
+def residue_composition(spark, sf_dir):
+    """How often each letter occurs, by its rank."""
+    letters = sequences(spark, sf_dir).select(F.explode(F.split("residues", "")).alias("letter")).where("letter <> ''")
+    rows = letters.groupBy("letter").agg(F.count("*").alias("n")).select(exprs.amino_digit(F.col("letter")).cast("long").alias("digit"), "n")
+    return rows.select("digit", exprs.amino_letter(F.col("digit")).alias("letter"), "n")
+
+
 def reduce_alphabet(spark, sf_dir):
     s = sequences(spark, sf_dir)
     return s.select("seq_id", F.md5(exprs.reduce_alphabet(F.col("residues"))).alias("digest"))
@@ -377,7 +384,7 @@ def params_roundtrip(spark, sf_dir):
 _P = ", ".join(f"('{k}', '{int(v) if isinstance(v, bool) else v}')" for k, v in DatabaseParams(db_size=123).items())
 
 QUERIES = {f.__name__: f for f in (
-    residue_normalize, reduce_alphabet, reverse_complement, six_frame_translate, kmer_seed_index, kmer_hash_roundtrip, low_complexity, seed_postings, pairwise_identity, db_stats, compression_ratio, links_per_fragment, compress_roundtrip,
+    residue_normalize, residue_composition, reduce_alphabet, reverse_complement, six_frame_translate, kmer_seed_index, kmer_hash_roundtrip, low_complexity, seed_postings, pairwise_identity, db_stats, compression_ratio, links_per_fragment, compress_roundtrip,
     compressed_csv_roundtrip, seed_join_candidates, interval_expand, expanded_distinct, two_sided_expand, expand_whole, render_links, first_match, top_band_hits, edit_script_apply, gapped_lengths, align_windows, two_stage_search, one_stage_search, iterated_search, accuracy_summary, accuracy_sensitive, translated_search,
     compress_exact, compress_reduced, append_compress, database_lookup,
     sample_records, append_union, dedup_exact, fasta_roundtrip, tabular_roundtrip, xml_roundtrip, params_roundtrip)}
@@ -386,6 +393,7 @@ _RUN3 = exprs.run_pattern(3)
 _RUN6 = exprs.run_pattern(6)
 ORACLES = {
     "residue_normalize": f"{_SEQ} SELECT seq_id, length(residues)::BIGINT AS n, md5(residues) AS digest, length(residues) > 1 AND residues = repeat(substr(residues, 1, 1), length(residues)) AS is_repetitive FROM s",
+    "residue_composition": f"{_SEQ}, l AS (SELECT unnest(string_split(residues, '')) AS letter FROM s) SELECT (instr('{AMINO}', letter) - 1)::BIGINT AS digit, letter, count(*) AS n FROM l WHERE letter <> '' GROUP BY ALL",
     "reduce_alphabet": f"{_SEQ} SELECT seq_id, md5(translate(residues, '{_SRC}', '{_DST}')) AS digest FROM s",
     "reverse_complement": f"{_SEQ} SELECT seq_id, md5(reverse(translate(translate(residues, '{_SRC}', '{_DST}'), 'ACGTN', 'TGCAN'))) AS digest FROM s",
     "six_frame_translate": SIX_SQL,

@@ -18,3 +18,8 @@ def append_stream(stream: DataFrame, db: Database, checkpoint: str, trigger: dic
             db.append(dense_ids(batch.select("name", "residues"), ["name", "residues"]), mark=number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def rates(query: StreamingQuery) -> list[tuple[int, int, float]]:
+    """(batch, sequences, sequences a second) of the batches that the query remembers."""
+    return [(p["batchId"], p["numInputRows"], p["processedRowsPerSecond"]) for p in query.recentProgress if p["numInputRows"]]

@@ -12,7 +12,7 @@ from seqloom.plans import search as S
 from seqloom.plans.store import Database
 from seqloom.sources import compressed_csv, fasta, hits
 from seqloom.sources.params import DatabaseParams
-from seqloom.streaming.append import append_stream
+from seqloom.streaming.append import append_stream, rates
 
 BASE = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQFEVVHSLAKWKRQTLGQHDFSAGEGLYTHMKALRPDEDRLSPLHSVYVDQWDWE"
 
@@ -97,7 +97,11 @@ def test_params():
 
 def test_store(spark, seqs, tmp_path):
     path = str(tmp_path / "db")
-    db = Database.create(spark, path, seqs, DatabaseParams(read_only=False, save_plain=True), fast=False)
+    db = Database.create(spark, path, seqs, DatabaseParams(read_only=False, save_plain=True, save_compressed=True), fast=False)
+    records = spark.read.text(f"{path}/compressed.csv")
+    assert records.count() == 8 and list((tmp_path / "db" / "compressed.csv").glob("*.gz"))
+    assert {r["x"][0] for r in records.select(compressed_csv.parse_record(F.col("value")).alias("x")).collect()} == {n for _, n, _ in proteins()}
+    assert db.decoded().count() == 8 and db.decoded().is_cached
     with pytest.raises(Exception, match="(?i)exist"):
         Database.create(spark, path, seqs)
     more = spark.createDataFrame([(0, "z", BASE[:100]), (1, "y", BASE)], SEQUENCES)
@@ -253,8 +257,12 @@ def test_stream_append(spark, seqs, tmp_path):
     db = Database.create(spark, str(tmp_path / "db"), seqs, DatabaseParams(read_only=False))
     src = str(tmp_path / "in")
     spark.createDataFrame([("s", BASE), ("t", BASE[:60])], "name string, residues string").write.parquet(src)
+    seen = []
     for _ in range(2):  # the second run finds nothing new
-        append_stream(spark.readStream.schema("name string, residues string").parquet(src), db, str(tmp_path / "cp")).awaitTermination(120)
+        query = append_stream(spark.readStream.schema("name string, residues string").parquet(src), db, str(tmp_path / "cp"))
+        query.awaitTermination(120)
+        seen.append([n for _, n, rate in rates(query) if rate > 0])
+    assert seen == [[2], []]
     got = Database.open(spark, db.path).sequences().where("seq_id >= 8").orderBy("seq_id").collect()
     assert [(r["seq_id"], r["name"], r["residues"]) for r in got] == [(8, "s", BASE), (9, "t", BASE[:60])]
 

@@ -23,6 +23,11 @@ def test_residues(one):
     assert one(exprs.normalize(F.lit("ab*C")).alias("x"))[0] == "ABC"
 
 
+def test_digits(one):
+    r = one(*(exprs.amino_digit(F.lit(c)).alias(f"d{i}") for i, c in enumerate(("A", "Z", "J", ""))), exprs.amino_letter(F.lit(22)).alias("x"), exprs.amino_letter(F.lit(-1)).alias("y"))
+    assert tuple(r) == (0, 22, -1, -1, "Z", "")
+
+
 def test_six_frames(one):
     got = one(exprs.six_frames(F.lit("ATGTAANAC")).alias("x"))[0]
     assert len(got) == 6 and got[0] == "MX" and got[1] == "XLH"  # the stop is left out
