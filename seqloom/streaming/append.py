@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.scratch import dense_ids
+from ..plans.scratch import cut, dense_ids
 from ..plans.store import Database
 
 
@@ -14,8 +14,9 @@ def append_stream(stream: DataFrame, db: Database, checkpoint: str, trigger: dic
     A batch's number is committed together with its rows, so one that comes again after a failure is passed over.
     """
     def add(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            db.append(dense_ids(batch.select("name", "residues"), ["name", "residues"]), mark=number)
+        rows = cut(batch.select("name", "residues"), "batch")  # the source is read once
+        if not rows.isEmpty():
+            db.append(dense_ids(rows, ["name", "residues"]), mark=number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
