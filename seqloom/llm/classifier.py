@@ -78,7 +78,7 @@ def _total(table: pa.Table) -> np.ndarray:
     return total
 
 
-def context_vectors(df: DataFrame, text_col: str, most: int = 160_000, fan: int = 256) -> np.ndarray:
+def context_vectors(df: DataFrame, text_col: str, most: int = 100_000, fan: int = 256) -> np.ndarray:
     """Context vectors of unit length (int8, 127 is one) learnt from all texts of ``df``. A task holds sums of about
     ``most`` rows of the table at a time; each of its pieces is summed in a tree, about ``fan`` parts at a time, as deep
     as the corpus needs; the driver gets the table."""
