@@ -47,3 +47,14 @@ def test_many_alignments_as_one_by_one(monkeypatch):
         monkeypatch.setattr(A, "_CELLS", cells)
         assert A.align_many(items, a) == one
         assert A.align_many(items, a, lambda score, length: score >= 60) == [x if x and x[0] >= 60 else None for x in one]
+
+
+def test_one_stage_search_builds_no_database(spark, sf_dir, monkeypatch):
+    from seqloom.plans import queries as Q
+
+    size = Q.database_size(spark, sf_dir)
+    monkeypatch.setattr(Q, "documents_db", lambda *a: (_ for _ in ()).throw(AssertionError("a database was built")))
+    seen = []
+    monkeypatch.setattr(Q.S, "search_one_stage", lambda q, t, db_size, s: seen.append(db_size))
+    Q.one_stage_search(spark, sf_dir)
+    assert seen == [size]
